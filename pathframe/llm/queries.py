@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathframe.llm import decontaminate, mixing, url_filter
+from pathframe.llm import decontaminate, embed_dedup, mixing, simhash_dedup, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,23 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_output.write_token_files(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_words=True
+    )
+    return token_output.read_documents(files)
+
+
 _OP2_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
@@ -71,6 +88,20 @@ select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigi
 from d left join hw using (doc_id) left join hi using (doc_id)
 """
 
+_OP5_SQL = """
+with recursive e as (
+  select vec_id, cast(embedding as double[]) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id a, b.vec_id b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95),
+r(n, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.n),
+m as (select n, min(c) c from r group by 1),
+k as (select a, count(*) n from l group by 1)
+select vec_id, cast(coalesce(k.n, 0) as bigint) n_links, m.c component_id, vec_id = m.c kept
+from embeddings left join m on m.n = vec_id left join k on k.a = vec_id
+"""
+
 _OP4_SQL = r"""
 with p as (
   select page_id,
@@ -90,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
+    "op5_embed_dedup": op5_embed_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_token_output": op9_token_output,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL}
