@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathframe.llm import decontaminate, embed_dedup, mixing, simhash_dedup, token_output, url_filter
+from pathframe.llm import decontaminate, embed_dedup, mixing, pii, simhash_dedup, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,22 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(files)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ``base_sha256`` are of the plain spans, ``spans`` of all; ``n_disguised`` counts what the method adds."""
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(
+        F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    counts = [F.size(F.filter("plain", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed("plain"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+        (F.size("spans") - F.size("plain")).cast("bigint").alias("n_disguised"),
+    )
+
+
 _OP2_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
@@ -124,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embed_dedup": op5_embed_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_token_output": op9_token_output,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL}
