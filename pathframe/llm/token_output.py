@@ -37,14 +37,18 @@ from pyspark.sql import functions as F
 from pathframe.llm.common import cut, shared_dir
 
 #: Words whose ids a worker keeps; a longer word is encoded each time.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
+#: New words that are encoded as one text.
+TOGETHER = 2000
 
 
 class Encoder:
     """Ids of texts, as little-endian uint32 bytes.
 
-    ``by_words`` is for tokenizers that drop white space and never join over
-    it: then a text's ids are those of its words, of which most repeat.
+    ``by_words`` is for tokenizers that lower-case, drop white space and never
+    join over it: then a text's ids are those of its words, most of which
+    repeat.  New words go to the tokenizer as one text, and where its
+    vocabulary marks word ends the ids are cut at the marks.
     """
 
     def __init__(self, path: str, by_words: bool):
@@ -54,17 +58,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
         self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") if by_words else None
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many at a time."""
+        out: list[bytes] = []
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            ids = self._encode([" ".join(some)])[0]
+            stops = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            # Each word ends at least once: as many ends as words are one each.
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                out += (ids[a:b] for a, b in zip([0, *stops], stops, strict=False))
+            else:
+                out += self._encode(some)
+        return out
 
     def _learn(self, words: list[str]) -> None:
+        cache = self.cache
         # A letter before one closing mark always ends a word: the mark's ids follow the word's.
-        parts = [(w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() and "'" not in w else (w, "") for w in words]
-        new = [x for x in {y for p in parts for y in p} if x not in self.cache]
-        if new:
-            self.cache.update(zip(new, self._encode(new), strict=True))
-        self.cache.update((w, self.cache[a] + self.cache[b]) for w, (a, b) in zip(words, parts, strict=True) if b)
+        # Latin words are looked up in lower case, as the tokenizer reads them.
+        parts = []
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].lower().isalpha() and "'" not in w else (w, "")
+            parts.append((core.lower() if core.isalpha() and max(core) < "\u0180" and "İ" not in core else core, mark))
+        new = {y for p in parts for y in p if y not in cache}
+        plain = [x for x in new if x.isalpha() and max(x) < "\u0180"]
+        other = list(new.difference(plain))
+        cache.update(zip(plain, self._encode_words(plain), strict=True))
+        cache.update(zip(other, self._encode(other), strict=True))
+        cache.update((w, cache[a] + cache[b]) for w, (a, b) in zip(words, parts, strict=True) if w not in cache)
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
