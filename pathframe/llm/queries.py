@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathframe.llm import decontaminate, embed_dedup, mixing, pii, simhash_dedup, token_output, url_filter
+from pathframe.llm import decontaminate, embed_dedup, mixing, pii, simhash_dedup, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(
         F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
     )
+
     counts = [F.size(F.filter("plain", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return found.select(
         "doc_id",
@@ -80,6 +81,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out() -> Column:
+    """Rows that labels are never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out())
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
 _OP2_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
@@ -139,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_embed_dedup": op5_embed_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_pii": op10_pii,
 }
