@@ -31,6 +31,8 @@ from pathframe.llm.common import cut
 BINS = 4096
 #: A bin with more rows than this is cut again, by the next bits of the hash.
 BIN_ROWS = 50_000
+#: Sources up to which the plan is broadcast, at under 100 bytes each.
+MAX_BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,7 +107,8 @@ def mix_sources(
         "left", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("bigint")
     )
     plan = cut(plan.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source", "weight"))
-    # Only sources with a bounded broadcast go to every task; AQE decides from the size.
+    # A row a source: sent to every task while there are few, else joined by shuffle.
+    plan = F.broadcast(plan) if plan.count() <= MAX_BROADCAST_SOURCES else plan
     full = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(plan, "key")
     return _extra(full).select(
         F.col("id").alias(id),
@@ -130,9 +133,10 @@ def _extra(full: DataFrame, shift: int = 36) -> DataFrame:
         .select("key", F.col("bin").alias("cut_bin"), "n", (F.col("left") - F.col("before")).alias("rest"))
         .where("rest > 0")
     )
-    marked = bins.join(cutting, "key", "left")
+    few = cutting.count() <= MAX_BROADCAST_SOURCES
+    marked = bins.join(F.broadcast(cutting) if few else cutting, "key", "left")
     plain = marked.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(F.lit(0)).cast("bigint"))
-    edge = marked.where("bin = cut_bin").drop("left").withColumnRenamed("rest", "left")
+    edge = marked.where("bin = cut_bin").repartition("key", "bin").drop("left").withColumnRenamed("rest", "left")
     largest = cutting.agg(F.max("n")).first()[0] or 0
     keep = [c for c in full.columns if c != "left"] + ["extra"]
     if largest > BIN_ROWS and shift >= 12:
