@@ -132,12 +132,12 @@ def _by_join(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
     rows = cut(docs.withColumn("_pf_row", F.monotonically_increasing_id()))
     lengths = [r.length for r in grams.select("length").distinct().collect()]
     words = rows.select("_pf_row", words_of(F.col(text)).alias("w"))
-    parts = [
-        words.select("_pf_row", F.posexplode(F.transform(_starts(F.col("w"), n), lambda i, n=n: F.slice("w", i, n))).alias("p", "gram")).select(
-            "_pf_row", (F.col("p") + 1).cast("bigint").alias("start"), F.lit(n).alias("length"), "gram"
-        )
-        for n in lengths
-    ]
+
+    def cut_windows(n: int) -> DataFrame:
+        found = words.select("_pf_row", F.posexplode(F.transform(_starts(F.col("w"), n), lambda i: F.slice("w", i, n))).alias("p", "gram"))
+        return found.select("_pf_row", (F.col("p") + 1).cast("bigint").alias("start"), F.lit(n).alias("length"), "gram")
+
+    parts = [cut_windows(n) for n in lengths]
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
