@@ -71,10 +71,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
     )
 
-    counts = [F.size(F.filter("plain", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("plain", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *map(count, pii.KINDS),
         F.sha2(listed("plain"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
         (F.size("spans") - F.size("plain")).cast("bigint").alias("n_disguised"),
