@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathframe.llm import decontaminate, embed_dedup, mixing, pii, simhash_dedup, token_output, toxicity, url_filter
+from pathframe.llm import (
+    decontaminate,
+    embed_dedup,
+    mixing,
+    pii,
+    simhash_dedup,
+    suffix_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +34,18 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
@@ -150,6 +172,7 @@ select page_id, host, path, rule, coalesce((select a from r where h || q = rule)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
