@@ -81,36 +81,40 @@ def mix_sources(
     id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
     """One row a document: id, source, ``size``, ``source_size``, ``target`` of its source, ``whole``, ``extra`` and ``taken``.
 
     ``taken = whole * size + extra`` words, ``extra`` at most ``size``.
-    ``weights(source, weight)`` defaults to 1, 2, 3 by turns.
+    ``weights(source, weight)`` defaults to 1, 2, 3 by turns.  With ``carry``
+    a struct ``row`` holds the document's own columns; they are not shuffled
+    but for the rows of the bins that are cut.
     """
-    rows = cut(
-        docs.select(
-            F.col(id).alias("id"),
-            F.col(source).cast("string").alias("source"),
-            words_of(F.col(text)).alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1 << 48)).alias("h"),
-            F.xxhash64(F.col(text)).alias("tie"),
-        )
-    )
+    own = [F.struct(*docs.columns).alias("row")] if carry else []
+    wide = docs.select(
+        *own,
+        F.col(id).alias("id"),
+        F.col(source).cast("string").alias("source"),
+        words_of(F.col(text)).alias("size"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1 << 48)).alias("h"),
+        F.xxhash64(F.col(text)).alias("tie"),
+    ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    rows = cut(wide.drop("row"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = cyclic_weights(sizes.select("source")) if weights is None else weights.select(F.col("source").cast("string"), F.col("weight").cast("double"))
     weighed = sizes.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select("s.source", "source_size", "weight")
     plan = fill_targets(cut(weighed), max_epochs, total)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # A hair below a full number of epochs is that number.
-    whole = F.floor(ratio + F.lit(1e-9)).cast("bigint")
-    plan = plan.withColumn("whole", whole).withColumn(
-        "left", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("bigint")
-    )
+    plan = plan.withColumn("whole", F.floor(ratio + F.lit(1e-9)).cast("bigint"))
+    left = F.round(F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn("left", F.greatest(F.lit(0), left).cast("bigint"))
     plan = cut(plan.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source", "weight"))
+    plan, depth = _cut_points(rows, plan)
     # A row a source: sent to every task while there are few, else joined by shuffle.
-    plan = F.broadcast(plan) if plan.count() <= MAX_BROADCAST_SOURCES else plan
-    full = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(plan, "key")
-    return _extra(full).select(
+    few = plan.count() <= MAX_BROADCAST_SOURCES
+    return _extra((wide if carry else rows).join(F.broadcast(plan) if few else plan, "key"), depth).select(
+        *(["row"] if carry else []),
         F.col("id").alias(id),
         F.col("source"),
         "size",
@@ -122,27 +126,57 @@ def mix_sources(
     )
 
 
-def _extra(full: DataFrame, shift: int = 36) -> DataFrame:
-    """Rows with ``extra``: ``left`` words of a source over its rows in the order of ``h``."""
-    bins = full.withColumn("bin", F.shiftright("h", shift) % BINS)
-    sums = bins.groupBy("key", "bin").agg(F.sum("size").alias("in_bin"), F.count("*").alias("n"), F.first("left").alias("left"))
-    before = F.sum("in_bin").over(Window.partitionBy("key").orderBy("bin")) - F.col("in_bin")
-    cutting = cut(
-        sums.withColumn("before", before)
-        .where("before < left and before + in_bin >= left")
-        .select("key", F.col("bin").alias("cut_bin"), "n", (F.col("left") - F.col("before")).alias("rest"))
-        .where("rest > 0")
-    )
-    few = cutting.count() <= MAX_BROADCAST_SOURCES
-    marked = bins.join(F.broadcast(cutting) if few else cutting, "key", "left")
-    plain = marked.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(F.lit(0)).cast("bigint"))
-    edge = marked.where("bin = cut_bin").repartition("key", "bin").drop("left").withColumnRenamed("rest", "left")
-    largest = cutting.agg(F.max("n")).first()[0] or 0
-    keep = [c for c in full.columns if c != "left"] + ["extra"]
-    if largest > BIN_ROWS and shift >= 12:
-        edge = _extra(edge.select(full.columns), shift - 12)
-    else:
-        order = Window.partitionBy("key").orderBy("h", "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-        taken = F.coalesce(F.sum("size").over(order), F.lit(0))
-        edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("left") - taken)).cast("bigint"))
-    return plain.select(keep).unionByName(edge.select(keep))
+def _bin(level: int) -> Column:
+    return F.shiftright("h", 36 - 12 * level) % BINS
+
+
+def _cut_points(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, int]:
+    """``plan`` with the bin in which a source's ``left`` words run out, level by level while such bins are large.
+
+    ``cut_0`` is null where nothing is left over; ``rest`` is what the last
+    bin's rows share.
+    """
+    plan = plan.withColumn("rest", F.col("left"))
+    inside = rows.select("key", "size", "h")
+    for level in range(4):
+        here = inside.join(_sent(plan.select("key", "rest")), "key")
+        sums = here.withColumn("bin", _bin(level)).groupBy("key", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("rest").alias("rest"))
+        before = F.sum("words").over(Window.partitionBy("key").orderBy("bin")) - F.col("words")
+        at = sums.withColumn("before", before).where("rest > 0 and before < rest and before + words >= rest")
+        at = cut(at.select("key", F.col("bin").alias(f"cut_{level}"), (F.col("rest") - F.col("before")).alias("rest"), "n"))
+        plan = cut(plan.drop("rest").join(at.drop("n"), "key", "left"))
+        if level == 3 or (at.agg(F.max("n")).first()[0] or 0) <= BIN_ROWS:
+            return plan, level + 1
+        inside = inside.join(_sent(at.select("key", f"cut_{level}")), "key").where(_bin(level) == F.col(f"cut_{level}")).drop(f"cut_{level}")
+    raise AssertionError
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_SOURCES else table
+
+
+def _extra(full: DataFrame, depth: int) -> DataFrame:
+    """Rows with ``extra``: the words left of a source go to its rows in the order of ``h``."""
+    size, none = F.col("size"), F.lit(0).cast("bigint")
+    extra: Column = F.lit(None).cast("bigint")
+    for level in reversed(range(depth)):
+        point = F.col(f"cut_{level}")
+        extra = F.when(point.isNull() | (_bin(level) > point), none).when(_bin(level) < point, size).otherwise(extra)
+    marked = full.withColumn("extra", extra)
+    edge = marked.where("extra is null").repartition("key", "cut_0")
+    order = Window.partitionBy("key").orderBy("h", "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum("size").over(order), F.lit(0))
+    edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("rest") - taken)).cast("bigint"))
+    return marked.where("extra is not null").unionByName(edge)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, a row a repetition.
+
+    A document of which at least half is in the fractional epoch is repeated
+    once more, else not; texts stay whole.  Options as for :func:`mix_sources`.
+    """
+    mix = mix_sources(docs, carry=True, **options)
+    times = F.col("whole") + ((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size"))).cast("bigint")
+    repeated = mix.withColumn("times", times).where("times > 0").withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathframe.llm import (
+    chat_format,
     decontaminate,
     embed_dedup,
     mixing,
@@ -73,6 +74,11 @@ def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation ``2 k`` is chosen over ``2 k + 1``."""
+    return chat_format.format_neighbours(_table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
 
@@ -156,6 +162,27 @@ select vec_id, cast(coalesce(k.n, 0) as bigint) n_links, m.c component_id, vec_i
 from embeddings left join m on m.n = vec_id left join k on k.a = vec_id
 """
 
+_OP6_SQL = """
+with t as (
+  select distinct conv_id, cast(turn as bigint) turn, coalesce(role, 'unknown') role, coalesce(text, '') text,
+    cast(floor(conv_id / 2) as bigint) pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end side
+  from conversations where conv_id is not null and turn is not null),
+s as (select pair_id, side, turn, list([role, text] order by role, text) sig from t group by all),
+c as (select pair_id, turn, count(*) n, min(sig) a, max(sig) b from s group by all),
+f as (select pair_id, min(turn) filter (n < 2 or a <> b) cut from c group by all),
+p as (select pair_id, count(distinct side) = 2 paired from t group by all),
+x as (
+  select t.*, paired, cut is null or turn < cut shared,
+    '<|im_start|>' || replace(replace(role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10) head,
+    replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' body
+  from t join f using (pair_id) join p using (pair_id)),
+y as (select *, not shared and role = 'assistant' trained from x where not shared or side = 'chosen')
+select pair_id, paired, case when shared then 'prompt' else side end part, turn, role, head || body || chr(10) rendered,
+  cast(case when trained then length(head) else length(head || body || chr(10)) end as bigint) masked_chars,
+  cast(case when trained then length(body) else 0 end as bigint) trained_chars
+from y
+"""
+
 _OP4_SQL = r"""
 with p as (
   select page_id,
@@ -177,10 +204,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
     "op5_embed_dedup": op5_embed_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL, "op6_chat_format": _OP6_SQL}

@@ -69,7 +69,7 @@ def _fingerprint(text: bytes, words: int, chunk: int = 1 << 16) -> np.uint64:
     return np.packbits(bits, bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, id_type: str = "bigint") -> DataFrame:
     """``(doc_id, f)``, ``f`` being the fingerprint's 64 bits as a bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +77,10 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             found = [_fingerprint((t.as_buffer().to_pybytes() if t.is_valid else b""), words) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(found, "<u8").view("<i8"))], names=["doc_id", "f"])
 
-    return docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, f bigint")
+    return docs.select(F.col(id).cast(id_type).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, f bigint")
 
 
-def segment_choices(classes: int, max_bits: int, cell_rows: int = 256) -> list[list[tuple[int, int]]]:
+def segment_choices(classes: int, max_bits: int, cell_rows: int = TILE_ROWS) -> list[list[tuple[int, int]]]:
     """Choices of ``(shift, width)`` segments, so that close fingerprints agree on all of one choice.
 
     With ``m`` segments at most ``max_bits`` differ, so ``m - max_bits`` agree.
@@ -151,7 +151,7 @@ class GrayIndex:
         return q[near], node[near]
 
 
-def _links(max_bits: int, at_once: int = 4096):
+def _links(max_bits: int, at_once: int = 1024):
     def body(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         f = table.column("f").to_numpy().view("<u8")
         rep = table.column("rep").to_numpy()
@@ -196,3 +196,61 @@ def near_duplicates(
         prints.join(near_classes(prints, max_bits), "f")
         .select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
     )
+
+
+def _shingle_set(text: str, words: int):
+    low = F.split(F.trim(F.regexp_replace(F.coalesce(F.lower(F.col(text)), F.lit("")), "[\x20\x09-\x0D]+", " ")), " ")
+    last = F.greatest(F.size("w") - (words - 1), F.lit(1))
+    return low, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, words))))
+
+
+def drop_near_copies(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, max_bits: int = 8, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each group of near copies, all columns kept.
+
+    Fingerprints within ``max_bits`` make candidate groups.  In a group the
+    document with the smallest id stays, and those go whose set of word
+    shingles has a Jaccard similarity of at least ``similarity`` with it; the
+    rest of the group does the same again, until each document has gone or
+    stays.  So nothing goes without a verified near copy that stays.  Equal
+    rows are one document.  Rows with a null id come after all others.
+    """
+    keyed = docs.withColumn("_pf_text", F.xxhash64(F.col(text)))
+    prints = cut(
+        fingerprints(keyed.select(F.struct(F.col(id).cast("bigint").alias("id"), F.col("_pf_text").alias("h")).alias("k"), F.col(text).alias("t")), "k", "t", words, "struct<id:bigint,h:bigint>")
+        .select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"), "f")
+    )
+    parts = near_classes(prints.withColumnRenamed("id", "doc_id").select("doc_id", "f"), max_bits)
+    group = F.coalesce(F.concat(F.lit("c"), "component"), F.concat(F.lit("f"), "f"))
+    members = prints.join(parts, "f").select(group.alias("g"), "id", "h").distinct()
+    sizes = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    waiting = cut(members.join(sizes.select("g"), "g"))
+    wanted = waiting.select(F.col("h").alias("_pf_text")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
+    low, shingles = _shingle_set(text, words)
+    sets = cut(
+        keyed.join(wanted, "_pf_text", "left_semi")
+        .groupBy("_pf_text")
+        .agg(F.first(text).alias(text))
+        .select(F.col("_pf_text").alias("h"), low.alias("w"))
+        .select("h", shingles.alias("s"))
+    )
+    gone = None
+    while not waiting.isEmpty():
+        first = waiting.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("m"))
+        heads = first.select("g", F.col("m.id").alias("head_id"), F.col("m.h").alias("head_h"))
+        heads = heads.join(sets.select(F.col("h").alias("head_h"), F.col("s").alias("head_s")), "head_h")
+        others = waiting.join(heads, "g").where(~(F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))))
+        both = F.size(F.array_intersect("s", "head_s"))
+        near = both >= similarity * (F.size("s") + F.size("head_s") - both)
+        judged = cut(others.join(sets, "h").select("g", "id", "h", near.alias("near")))
+        out = judged.where("near").select("id", "h")
+        gone = out if gone is None else gone.unionByName(out)
+        waiting = cut(judged.where(~F.col("near")).select("g", "id", "h"))
+    kept = keyed
+    if gone is not None:
+        kept = keyed.join(gone, keyed[id].cast("bigint").eqNullSafe(gone["id"]) & (keyed["_pf_text"] == gone["h"]), "left_anti")
+    if not prints.groupBy("id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id, "_pf_text"])
+    return kept.drop("_pf_text")
