@@ -107,31 +107,45 @@ def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-_INTERVALS = "k1 bigint, k2 bigint, lo bigint, hi bigint, a bigint, gram bigint, whole bigint"
+#: A range of windows: the first; how many more, in the low 32 bits of ``place``, and how far the anchor is, above them.
+_INTERVALS = "k1 bigint, k2 bigint, lo bigint, place bigint, gram bigint, c bigint"
+
+
+def _classes(place: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A hash of what equal ranges share: the offsets and all bytes."""
+    with np.errstate(over="ignore"):
+        h = (place.astype(np.uint64) + _MULTIPLIERS[3]) * _MULTIPLIERS[0]
+        h ^= h >> _SHIFTS[0]
+        h = (h ^ whole.view(np.uint64)) * _MULTIPLIERS[1]
+        return (h ^ (h >> _SHIFTS[1])).view(np.int64)
 
 
 def _scan(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for k1, k2, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = _bytes(value)
                 for lo, hi, a, gram in intervals(text, window):
                     whole = np.fromiter((_digest(text[x : y + window]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), np.int64, len(lo))
-                    for c, x in zip(columns, (np.full(len(lo), k1), np.full(len(lo), k2), lo, hi, a, gram, whole), strict=True):
+                    place = (hi - lo) | (a - lo) << 32
+                    for c, x in zip(columns, (np.full(len(lo), k1), np.full(len(lo), k2), lo, place, gram, _classes(place, whole)), strict=True):
                         c.append(x)
             if columns[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["k1", "k2", "lo", "hi", "a", "gram", "whole"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["k1", "k2", "lo", "place", "gram", "c"])
 
     return run
 
 
-_WINDOWS = "array<struct<single:boolean,lo:bigint,hi:bigint,a:bigint,gram:bigint>>"
-_BLOCKS = "k1 bigint, k2 bigint, single boolean, lo bigint, hi bigint, a bigint, gram bigint, block bigint, core bigint, whole bigint"
+_BLOCKS = "k1 bigint, k2 bigint, single boolean, lo bigint, place bigint, gram bigint, core bigint, c bigint"
 
 
 def _split(window: int, step: int):
-    """Blocks of ``step`` offsets of the given windows, with the hashes of the bytes that a block's windows share and of all their bytes."""
+    """Blocks of ``step`` offsets of the given windows.
+
+    ``core`` is a hash of the gram, the block and the bytes that all its
+    windows share; ``c`` adds which windows there are and all their bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,23 +153,26 @@ def _split(window: int, step: int):
                 text = _bytes(value)
                 out = []
                 for r in ranges:
-                    a, gram = r["a"], r["gram"]
-                    for q in range((a - r["hi"]) // step, (a - r["lo"]) // step + 1):
+                    first, gram = r["lo"], r["gram"]
+                    last, a = first + (r["place"] & 0xFFFFFFFF), first + (r["place"] >> 32)
+                    for q in range((a - last) // step, (a - first) // step + 1):
                         # Offsets from q * step: a window is at the anchor less its offset.
-                        lo, hi = max(r["lo"], a - q * step - step + 1), min(r["hi"], a - q * step)
-                        core = _digest(text[a - q * step : a - q * step - step + 1 + window])
+                        lo, hi = max(first, a - q * step - step + 1), min(last, a - q * step)
+                        shared = xxhash.xxh3_64_intdigest(text[a - q * step : a - q * step - step + 1 + window], q & 0xFFFFFFFF)
+                        core = _signed(xxhash.xxh3_64_intdigest(shared.to_bytes(8, "little"), gram & 0xFFFFFFFFFFFFFFFF))
                         whole = core if step == 1 else _digest(text[lo : hi + window])
-                        out.append((k1, k2, r["single"], lo, hi, a, gram, q, core, whole))
+                        out.append((k1, k2, r["single"], lo, (hi - lo) | (a - lo) << 32, gram, core, whole))
                 if out:
-                    names = ["k1", "k2", "single", "lo", "hi", "a", "gram", "block", "core", "whole"]
-                    yield pa.record_batch([pa.array(c, pa.bool_() if i == 2 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
+                    columns = [np.array(c, bool if i == 2 else np.int64) for i, c in enumerate(zip(*out, strict=True))]
+                    columns[7] = _classes(columns[4], columns[7])
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["k1", "k2", "single", "lo", "place", "gram", "core", "c"])
 
     return run
 
 
 def _texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """One row a document key in ``ranges``, with its text and its ranges."""
-    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("single", "lo", "hi", "a", "gram")).alias("ranges"))
+    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("single", "lo", "place", "gram")).alias("ranges"))
     lists = cut(lists)
     if lists.count() <= MAX_BROADCAST_KEYS:
         docs = docs.join(F.broadcast(lists.select("k1", "k2")), ["k1", "k2"], "left_semi")
@@ -165,48 +182,48 @@ def _texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``(k1, k2, lo, hi)``: ranges of windows of each text key that occur more than once.
+    """``(k1, k2, lo, more)``: of each text key, windows ``lo`` to ``lo + more`` occur more than once.
 
     ``docs(k1, k2, text)``; a range may be given in parts and more than once.
     """
     long = docs.where(F.octet_length("text") >= window)
     found = long.select("k1", "k2", "text").mapInArrow(_scan(window), _INTERVALS)
-    # The same offsets, gram and bytes.
-    found = found.withColumn("c", F.xxhash64(F.col("a") - F.col("lo"), F.col("hi") - F.col("lo"), "whole"))
     groups = found.groupBy("gram", "c").agg(F.count("*").alias("n"))
-    grams = groups.groupBy("gram").agg(F.sum("n").alias("in_gram"), (F.min("n") == 1).alias("has_single")).where("in_gram > 1")
-    kept = groups.join(grams, "gram").select("gram", "c", "n", "has_single")
-    left = cut(found.join(kept, ["gram", "c"]).select("k1", "k2", "lo", "hi", "a", "gram", "c", "n", "has_single"))
-    repeated = [left.where("n > 1").select("k1", "k2", "lo", "hi")]
-    one = left.where("n > 1 and has_single").groupBy("gram", "c").agg(F.min(F.struct("k1", "k2", "lo", "hi", "a")).alias("m"))
-    fields = ("k1", "k2", "single", "lo", "hi", "a", "gram")
-    ranges = left.where("n = 1").withColumn("single", F.lit(True)).select(*fields).unionByName(
-        one.select("m.k1", "m.k2", F.lit(False).alias("single"), "m.lo", "m.hi", "m.a", "gram")
-    )
+    left = _kept(found, groups, "gram")
+    place = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("more")
+    repeated = [left.where("n > 1").select("k1", "k2", "lo", place)]
+    ranges = _next(left.withColumn("single", F.lit(True)), "gram")
     for step in STEPS:
-        blocks = _texts(docs, ranges).mapInArrow(_split(window, step), _BLOCKS)
-        blocks = cut(blocks.withColumn("c", F.xxhash64(F.col("a") - F.col("lo"), F.col("hi") - F.col("lo"), "whole")))
+        blocks = cut(_texts(docs, ranges).mapInArrow(_split(window, step), _BLOCKS))
         # A member that stands for a group counts as the two that it had at least.
-        weight = F.when(F.col("single"), 1).otherwise(2)
-        groups = blocks.groupBy("gram", "block", "core", "c").agg(F.sum(weight).alias("n"))
+        groups = blocks.groupBy("core", "c").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"))
         if step == 1:
-            more = groups.where("n > 1")
-            repeated.append(blocks.where("single").join(more, ["gram", "block", "core", "c"]).select("k1", "k2", "lo", "hi"))
+            left = blocks.where("single").join(groups.where("n > 1").select("core", "c"), ["core", "c"])
+            repeated.append(left.select("k1", "k2", "lo", place))
             break
-        cores = groups.groupBy("gram", "block", "core").agg(F.sum("n").alias("in_core"), (F.min("n") == 1).alias("has_single")).where("in_core > 1")
-        kept = groups.join(cores, ["gram", "block", "core"]).select("gram", "block", "core", "c", "n", "has_single")
-        left = cut(blocks.join(kept, ["gram", "block", "core", "c"]))
-        repeated.append(left.where("single and n > 1").select("k1", "k2", "lo", "hi"))
-        one = left.where("n > 1 and has_single").groupBy("gram", "block", "core", "c").agg(F.min(F.struct("k1", "k2", "lo", "hi", "a")).alias("m"))
-        ranges = left.where("n = 1").select(*fields).unionByName(
-            one.select("m.k1", "m.k2", F.lit(False).alias("single"), "m.lo", "m.hi", "m.a", "gram")
-        )
+        left = _kept(blocks, groups, "core")
+        repeated.append(left.where("single and n > 1").select("k1", "k2", "lo", place))
+        ranges = _next(left, "core")
     out = repeated[0]
     for r in repeated[1:]:
         out = out.unionByName(r)
     return out
 
 
+def _kept(rows: DataFrame, groups: DataFrame, digit: str) -> DataFrame:
+    """Rows whose digit occurs again, with ``n`` of their class and whether the digit has a class of one."""
+    digits = groups.groupBy(digit).agg(F.sum("n").alias("in_all"), (F.min("n") == 1).alias("has_single")).where("in_all > 1")
+    return cut(rows.join(groups.join(digits, digit).select(digit, "c", "n", "has_single"), [digit, "c"]))
+
+
+def _next(left: DataFrame, digit: str) -> DataFrame:
+    """What the next pass splits: classes of one, and one member of each class that may meet them."""
+    fields = ("k1", "k2", "single", "lo", "place", "gram")
+    one = left.where("n > 1 and has_single").groupBy(digit, "c").agg(F.min(F.struct("k1", "k2", "lo", "place", "gram")).alias("m"))
+    stand = one.select("m.k1", "m.k2", F.lit(False).alias("single"), "m.lo", "m.place", "m.gram")
+    return left.where("n = 1").select(*fields).unionByName(stand)
+
+
 def merge_ranges(ranges: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
     """Bytes that the windows ``lo`` to ``hi`` of each range cover, as maximal runs."""
     out: list[list[int]] = []
@@ -226,7 +243,7 @@ def _remove(window: int):
             sizes, spans, kept = [], [], []
             for value, ranges in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 text = _bytes(value)
-                gone = merge_ranges([(r["lo"], r["hi"]) for r in ranges or ()], window)
+                gone = merge_ranges([(r["lo"], r["lo"] + r["more"]) for r in ranges or ()], window)
                 edges = [0, *(x for s in gone for x in s), len(text)]
                 sizes.append(len(text))
                 spans.append([{"start": x, "end": y} for x, y in gone])
@@ -245,6 +262,6 @@ def remove_repeats(docs: DataFrame, window: int = 400, id: str = "doc_id", text:
         F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(value).alias("k1"), F.xxhash64(F.lit(1), value).alias("k2"), value.alias("text")
     )
     found = repeated_windows(rows, window)
-    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more")).alias("ranges"))
     joined = rows.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_remove(window), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
