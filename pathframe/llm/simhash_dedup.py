@@ -13,7 +13,7 @@ and nodes of nodes hold the bits shared further up.  From the root down a
 query adds the differences in the bits that a node factors out beyond those of
 its parent; a node whose sum passes ``max_bits`` is pruned with all below it.
 Cells of any size are dealt in bounded groups (:mod:`pathframe.llm.tiles`),
-and a group returns edges to a smallest member, not pairs.
+and a group returns a spanning forest of its links, not all pairs.
 
 Null or empty text has no shingles: fingerprint zero, linked like any other.
 Rows with a null id get a fingerprint and the component of their class, which
@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathframe.llm.common import LOWER, UPPER, connected_components, cut
-from pathframe.llm.tiles import deal, each_group, merge
+from pathframe.llm.tiles import deal, each_group, spanning
 
 FAN = 8
 TILE_ROWS = 4096
+#: Text keys up to which a broadcast narrows the texts that are verified, at 8 bytes each.
+MAX_BROADCAST_KEYS = 1_000_000
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -163,26 +165,28 @@ def _links(max_bits: int, at_once: int = 1024):
         labels = np.arange(n)
         for k in range(0, n, at_once):
             queries = np.arange(k, min(n, k + at_once))
-            merge(labels, *index.pairs(queries, group[queries], max_bits))
-        # The root of a local component is its smallest position; edges need its id only.
-        linked = np.flatnonzero(labels != np.arange(n))
-        yield pa.record_batch([pa.array(rep[linked]), pa.array(rep[labels[linked]])], names=["a", "b"])
+            i, j = spanning(labels, *index.pairs(queries, group[queries], max_bits))
+            yield pa.record_batch([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
 
     return body
 
 
-def near_classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``(f, component)`` for ``prints(doc_id, f)``: the smallest id reachable from the class."""
-    classes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("rep")))
-    choices = segment_choices(classes.count(), max_bits)
+def near_links(nodes: DataFrame, count: int, max_bits: int) -> DataFrame:
+    """``(a, b)``: links between ``nodes(f, rep)``, enough of them to connect whatever is linked."""
+    choices = segment_choices(count, max_bits)
     cells = []
     for i, choice in enumerate(choices):
         parts = [F.shiftrightunsigned("f", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in choice]
         cells.append(F.xxhash64(F.lit(i), *parts))
-    members = classes.where("rep is not null").select("f", "rep", F.explode(F.array(*cells)).alias("cell"), F.xxhash64("f").alias("spread"))
+    members = nodes.where("rep is not null").select("f", "rep", F.explode(F.array(*cells)).alias("cell"), F.xxhash64("f").alias("spread"))
     dealt = deal(members, "cell", "spread", TILE_ROWS).select("g", "f", "rep")
-    edges = each_group(dealt, _links(max_bits), "a bigint, b bigint")
-    found = connected_components(edges)
+    return each_group(dealt, _links(max_bits), "a bigint, b bigint")
+
+
+def near_classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``(f, component)`` for ``prints(doc_id, f)``: the smallest id reachable from the class."""
+    classes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(near_links(classes, classes.count(), max_bits))
     joined = classes.join(found, classes.rep == found.node, "left")
     return joined.select("f", F.coalesce("component", "rep").alias("component"))
 
@@ -209,48 +213,35 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, all columns kept.
 
-    Fingerprints within ``max_bits`` make candidate groups.  In a group the
-    document with the smallest id stays, and those go whose set of word
-    shingles has a Jaccard similarity of at least ``similarity`` with it; the
-    rest of the group does the same again, until each document has gone or
-    stays.  So nothing goes without a verified near copy that stays.  Equal
-    rows are one document.  Rows with a null id come after all others.
+    Texts whose fingerprints are within ``max_bits`` are candidates; of their
+    links a spanning forest a cell is verified: the Jaccard similarity of the
+    sets of word shingles must be at least ``similarity``.  Groups are what
+    verified links and equal texts connect; the document with the smallest id
+    stays.  Equal rows are one document; rows with a null id come after all
+    others of their group.
     """
     keyed = docs.withColumn("_pf_text", F.xxhash64(F.col(text)))
-    prints = cut(
-        fingerprints(keyed.select(F.struct(F.col(id).cast("bigint").alias("id"), F.col("_pf_text").alias("h")).alias("k"), F.col(text).alias("t")), "k", "t", words, "struct<id:bigint,h:bigint>")
-        .select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"), "f")
-    )
-    parts = near_classes(prints.withColumnRenamed("id", "doc_id").select("doc_id", "f"), max_bits)
-    group = F.coalesce(F.concat(F.lit("c"), "component"), F.concat(F.lit("f"), "f"))
-    members = prints.join(parts, "f").select(group.alias("g"), "id", "h").distinct()
-    sizes = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    waiting = cut(members.join(sizes.select("g"), "g"))
-    wanted = waiting.select(F.col("h").alias("_pf_text")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
+    key = F.struct(F.col(id).cast("bigint").alias("id"), F.col("_pf_text").alias("h"))
+    prints = fingerprints(keyed.select(key.alias("k"), F.col(text).alias("t")), "k", "t", words, "struct<id:bigint,h:bigint>")
+    prints = cut(prints.select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"), "f"))
+    nodes = cut(prints.groupBy("h").agg(F.first("f").alias("f")))
+    links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits)
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = links.select(F.explode(F.array("a", "b")).alias("_pf_text")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
     low, shingles = _shingle_set(text, words)
-    sets = cut(
-        keyed.join(wanted, "_pf_text", "left_semi")
-        .groupBy("_pf_text")
-        .agg(F.first(text).alias(text))
-        .select(F.col("_pf_text").alias("h"), low.alias("w"))
-        .select("h", shingles.alias("s"))
-    )
-    gone = None
-    while not waiting.isEmpty():
-        first = waiting.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("m"))
-        heads = first.select("g", F.col("m.id").alias("head_id"), F.col("m.h").alias("head_h"))
-        heads = heads.join(sets.select(F.col("h").alias("head_h"), F.col("s").alias("head_s")), "head_h")
-        others = waiting.join(heads, "g").where(~(F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))))
-        both = F.size(F.array_intersect("s", "head_s"))
-        near = both >= similarity * (F.size("s") + F.size("head_s") - both)
-        judged = cut(others.join(sets, "h").select("g", "id", "h", near.alias("near")))
-        out = judged.where("near").select("id", "h")
-        gone = out if gone is None else gone.unionByName(out)
-        waiting = cut(judged.where(~F.col("near")).select("g", "id", "h"))
-    kept = keyed
-    if gone is not None:
-        kept = keyed.join(gone, keyed[id].cast("bigint").eqNullSafe(gone["id"]) & (keyed["_pf_text"] == gone["h"]), "left_anti")
+    found = keyed.join(wanted, "_pf_text", "left_semi").groupBy("_pf_text").agg(F.first(text).alias(text))
+    sets = cut(found.select(F.col("_pf_text").alias("h"), low.alias("w")).select("h", shingles.alias("s")))
+    pairs = links.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = pairs.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    parts = connected_components(near)
+    rows = prints.join(parts, prints.h == parts.node, "left").select("id", "h", F.coalesce("component", "h").alias("g"))
+    order = F.struct(F.col("id").isNull().alias("z"), "id", "h")
+    groups = rows.groupBy("g").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(groups, "g").where(~(F.col("id").eqNullSafe(F.col("m.id")) & (F.col("h") == F.col("m.h"))))
+    gone = cut(gone.select(F.col("id").alias("_pf_id"), F.col("h").alias("_pf_h")).distinct())
+    kept = keyed.join(gone, keyed[id].cast("bigint").eqNullSafe(gone["_pf_id"]) & (keyed["_pf_text"] == gone["_pf_h"]), "left_anti")
     if not prints.groupBy("id", "h").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id, "_pf_text"])
     return kept.drop("_pf_text")

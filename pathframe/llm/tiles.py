@@ -81,3 +81,27 @@ def merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             if np.array_equal(up, labels):
                 break
             labels[:] = up
+
+
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`merge`; returns those of the pairs that joined components, fewer than there are positions."""
+    taken_i, taken_j = [], []
+    while len(i):
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        # Each component takes one pair that leads to a smaller one.
+        roots, at = np.unique(high, return_index=True)
+        taken_i.append(i[at])
+        taken_j.append(j[at])
+        labels[roots] = low[at]
+        while True:
+            up = labels[labels]
+            if np.array_equal(up, labels):
+                break
+            labels[:] = up
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(taken_i), np.concatenate(taken_j)) if taken_i else (empty, empty)
