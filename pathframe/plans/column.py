@@ -213,10 +213,11 @@ class ColumnCompiler:
             if op == "/":
                 inf = F.lit(float("inf"))
                 zero = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).when(x > 0, inf).otherwise(-inf)
-                return Val(F.when(y == 0, zero).otherwise(F.try_divide(x, y)), DOUBLE)
+                return Val(F.when(y == 0, zero).otherwise(F.try_divide(x, y)), DOUBLE, extra={"nan": True})
             if op == "%":
-                return Val(F.when(y == 0, F.lit(float("nan"))).otherwise(F.try_mod(x, y)), DOUBLE)
-            return Val(x + y if op == "+" else x - y if op == "-" else x * y, DOUBLE)
+                return Val(F.when(y == 0, F.lit(float("nan"))).otherwise(F.try_mod(x, y)), DOUBLE, extra={"nan": True})
+            odd = {"nan": True} if a.extra.get("nan") or b.extra.get("nan") else {}
+            return Val(x + y if op == "+" else x - y if op == "-" else x * y, DOUBLE, extra=odd)
         if op == "&":
             texts = [F.coalesce(text_of(v), F.lit("")) if not v.missing else F.lit("") for v in (a, b)]
             return Val(F.concat(*texts), STRING)
@@ -234,7 +235,11 @@ class ColumnCompiler:
         if kind(a) != kind(b):
             raise EvalError("T2009", f"{kind(a)} and {kind(b)}", n.pos)
         x, y = (a.col, b.col) if not a.number else self._alike(a, b)
-        return Val({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], BOOLEAN)
+        test = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+        if a.extra.get("nan") or b.extra.get("nan"):
+            # For Spark not-a-number is the largest and equals itself; here it compares with nothing.
+            test = F.when(F.isnan(x.cast("double")) | F.isnan(y.cast("double")), F.lit(False)).otherwise(test)
+        return Val(test, BOOLEAN)
 
     @staticmethod
     def _alike(a: Val, b: Val) -> tuple[Column, Column]:
