@@ -27,6 +27,24 @@ class _Registered(Native):
         return number(self.fn(*[a if isinstance(a, Function) else plain(a) for a in args]))
 
 
+class _ColumnFunction(_Registered):
+    """Built into the plan on typed rows; elsewhere a Python callable, if there is one."""
+
+    def __init__(self, name: str, build: Callable, returns: str, fn: Callable | None):
+        super().__init__(name, fn or (lambda *args: _no_documents(name)), None)
+        self.build, self.returns = build, returns
+
+    @property
+    def column(self) -> tuple[Callable, Any]:
+        from pyspark.sql.types import _parse_datatype_string
+
+        return self.build, _parse_datatype_string(self.returns)
+
+
+def _no_documents(name: str) -> Any:
+    raise EvalError("T1006", f"${name} has a Column form only")
+
+
 class Expression:
     """A compiled expression."""
 
@@ -47,6 +65,11 @@ class Expression:
         self._names[name] = fn if isinstance(fn, Function) else _Registered(name, fn, signature)
         return self
 
+    def register_column(self, name: str, build: Callable, returns: str, fn: Callable | None = None) -> Expression:
+        """A function as a builder of Columns, for typed rows; ``fn`` is its form over documents."""
+        self._names[name] = _ColumnFunction(name, build, returns, fn)
+        return self
+
     def use_library(self, library: Library) -> Expression:
         for name, fn in library.functions.items():
             self._names[name] = fn

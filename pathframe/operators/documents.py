@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from typing import TYPE_CHECKING, Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathframe.dynamic.values import plain
+
 if TYPE_CHECKING:
     from pathframe.api import Expression
+    from pathframe.syntax import Node
 
 
 def _sent(expression: Expression) -> tuple[str, dict[str, Any], float | None, int | None]:
@@ -42,3 +46,24 @@ def document_column(expression: Expression, json_text: Column) -> Column:
 
 def evaluate_json_column(expression: Expression, df: DataFrame, column: str, output: str = "result") -> DataFrame:
     return df.withColumn(output, document_column(expression, F.col(f"`{column}`")))
+
+
+def node_column(node: Node, names: dict[str, Any], json_text: Column) -> Column:
+    """A sub-expression over each item as JSON, with the scalars in scope as variables: JSON text."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        from pathframe.dynamic.evaluate import Frame, Run, compile_node, evaluate
+        from pathframe.dynamic.values import MISSING
+        from pathframe.functions.registry import BUILTINS
+
+        code = compile_node(node)
+        root = Frame(None, Run(), dict(BUILTINS))
+        out = []
+        for t in texts:
+            frame = Frame(root, Run(), dict(names))
+            got = evaluate(code, json.loads(t, parse_int=float) if isinstance(t, str) else MISSING, frame)
+            out.append(None if got is MISSING else json.dumps(plain(got), ensure_ascii=False, separators=(",", ":")))
+        return pd.Series(out, dtype="object")
+
+    return run(json_text)

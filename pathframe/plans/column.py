@@ -36,6 +36,10 @@ from pathframe.plans.values import (
 from pathframe.syntax import Node, parse
 
 
+#: Built-ins that only the document evaluator has.
+DYNAMIC = frozenset({"formatNumber", "formatInteger", "parseInteger", "decodeUrl", "eval"})
+
+
 @dataclass
 class Scope:
     """Names, the context item, the root, and the items above it."""
@@ -128,7 +132,7 @@ class ColumnCompiler:
         got = s.get(n.value)
         if got is not None:
             return got
-        if n.value in self.functions or n.value in FUNCTIONS:
+        if n.value in self.functions or n.value in FUNCTIONS or n.value in DYNAMIC:
             return Val(fn=Builtin(n.value))
         return MISSING
 
@@ -436,6 +440,8 @@ class ColumnCompiler:
         if isinstance(f, Builtin):
             if f.name in self.functions:
                 return self._registered(f.name, args)
+            if f.name not in FUNCTIONS:
+                raise Unsupported(f"${f.name} over columns")
             build, least, most, context = FUNCTIONS[f.name]
             if context and s is not None and len(args) == least - 1:
                 args = [s.item, *args]

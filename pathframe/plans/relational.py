@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from pathframe.errors import EvalError
 from pathframe.operators.ordinal import with_ordinal
-from pathframe.plans.column import Builtin, ColumnCompiler, Scope, from_column
+from pathframe.operators.documents import node_column
+from pathframe.plans.column import Builtin, Closure, ColumnCompiler, Scope, from_column
 from pathframe.plans.functions import _dtype
 from pathframe.plans.values import DOUBLE, MISSING, NUMERIC, Unsupported, Val, constant, field_of, kind, truthy
 from pathframe.sources.catalog import Catalog
@@ -293,12 +294,40 @@ class Relational:
             out = self._items(r, got, step.value)
         else:
             bare = Node(step.kind, step.pos, **{k: x for k, x in step.__dict__.items() if k not in ("kind", "pos", "stages", "focus", "index", "cons")})
-            got = self._over(r, lambda sc: self.compiler._kind(bare, self._scope(self.current[-1][0], s)))
+            try:
+                got = self._over(r, lambda sc: self.compiler._kind(bare, self._scope(self.current[-1][0], s)))
+            except Unsupported:
+                got = self._document(r, bare, s)
             if step.kind == "array" and got.many:
                 got = Val(got.col, T.ArrayType(got.dtype, False))
             out = self._items(r, got, "value")
         return self._after(step, replace(out, at_root=False), before, s)
 
+    def _document(self, r: Rel, n: Node, s: Scope) -> Val:
+        """A step that types don't carry, by the document evaluator over each item: JSON text."""
+        if r.at_root or r.parents or any(v.col is not None and not v.is_const for v in r.names.values()):
+            raise Unsupported("a dynamic step over bound rows")
+        names: dict[str, Any] = {}
+        scope: Scope | None = s
+        while scope is not None:
+            for k, v in scope.names.items():
+                if v.is_const:
+                    names.setdefault(k, v.const)
+                elif isinstance(v.fn, Closure):
+                    names.setdefault(k, v.fn.node)
+                else:
+                    raise Unsupported("a dynamic step with this variable")
+            scope = scope.up
+        # Functions in scope are defined again around the step.
+        defined = [Node("bind", n.pos, name=k, value=v) for k, v in names.items() if isinstance(v, Node)]
+        body = Node("block", n.pos, parts=[*defined, n]) if defined else n
+        plain = {k: v for k, v in names.items() if not isinstance(v, Node)}
+        item = r.item.as_column()
+        text = F.to_json(item if r.item.fields is not None or isinstance(r.item.dtype, T.StructType) else F.array(item))
+        if r.item.fields is None and not isinstance(r.item.dtype, T.StructType):
+            body = Node("path", n.pos, steps=[Node("variable", n.pos, value=""), body])
+        return Val(node_column(body, plain, text), T.StringType())
+
     def _items(self, r: Rel, got: Val, label: str) -> Rel:
         if got.missing:
             return r.changed(r.df.where(F.lit(False)), item=Val(F.lit(None).cast("string"), T.StringType()), label=label)

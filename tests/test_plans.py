@@ -120,3 +120,19 @@ def test_streaming_rows(spark, small, tmp_path):
     q = out.writeStream.format("memory").queryName("rows_out").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("rows_out").count() == 40
+
+
+def test_dynamic_steps_over_tables(spark, small):
+    nation = {"nation": spark.read.parquet(f"{small}/nation.parquet")}
+    got = [r[0] for r in compile('nation[n_nationkey < 3].$formatInteger(n_nationkey, "w")').on(nation).collect()]
+    assert got == ['"zero"', '"one"', '"two"']
+    text = "( $f := function($n) { $n < 2 ? 1 : $n * $f($n - 1) }; nation[n_nationkey < 5].($f(n_nationkey)) )"
+    assert [r[0] for r in compile(text).on(nation).collect()] == ["1", "1", "2", "6", "24"]
+    assert [r[0] for r in compile('nation.n_nationkey[$ < 2].($formatNumber($, "00"))').on(nation).collect()] == ['"00"', '"01"']
+
+
+def test_registered_columns(spark, small):
+    nation = spark.read.parquet(f"{small}/nation.parquet")
+    e = compile("nation[n_nationkey = 3].{'v': $shout(n_name)}").register_column("shout", lambda c: F.concat(F.upper(c), F.lit("!")), "string", lambda s: s.upper() + "!")
+    got = e.on({"nation": nation}).collect()[0].v
+    assert got == e.evaluate({"nation": [r.asDict() for r in nation.collect()]})["v"]
