@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +43,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def tidy() -> None:
+    """Give back what Arrow's allocator holds unused: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of passes that are over.
+
+    Shuffle and checkpoint files go when the driver collects the objects that
+    stand for them, which else may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # -- bit sets ---------------------------------------------------------------
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathframe.llm.common import cut
+from pathframe.llm.common import cut, tidy
 
 #: Labelled rows that training takes at most, the first by a hash of their id.
 MAX_TRAINING_ROWS = 20_000
@@ -233,18 +233,24 @@ class ToxicityModel:
 class _Words(dict):
     """What a word matches; filled as words come, emptied when large."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
         self.matcher = TermMatcher([(t.word, t.stem) for t in model.terms])
         self.innocent = model.innocent
         self.exact = {(t.word, t.stem): k for k, t in enumerate(model.terms)}
+        #: A word that begins otherwise matches nothing: first letters are exact or signs.
+        self.begins = {t.word[0] for t in model.terms}
+        self.begins |= {sign for sign, letters in SIGNS.items() if self.begins.intersection(letters)}
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
         if len(self) > self.LIMIT:
             self.clear()
         core = word.strip(_STRIP)
+        if core[:1] not in self.begins:
+            self[word] = None
+            return None
         tail = core.rstrip("!|+*$")
         found = None
         if tail in self.innocent or core in self.innocent:
@@ -476,6 +482,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id: str = "doc_id", t
         for b in batches:
             scores = [model.score(v.as_py()) for v in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            tidy()
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -488,5 +495,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
         for b in batches:
             at = b.schema.get_field_index(text)
             yield b.filter(pa.array([model.score(v.as_py()) < threshold for v in b.column(at)], pa.bool_()))
+            tidy()
 
     return docs.mapInArrow(run, docs.schema)
