@@ -78,7 +78,10 @@ class Relational:
         return self._frame(self.spark.range(1).select(*self._columns(v, "value")), v)
 
     def _frame(self, df: DataFrame, v: Val) -> DataFrame:
-        return df.select(F.explode("value").alias("value")) if v.many else df
+        if not v.many:
+            return df
+        rows = df.select(F.explode("value").alias("value"))
+        return rows.select("value.*") if isinstance(v.dtype, T.StructType) else rows
 
     def _columns(self, v: Val, label: str) -> list[Column]:
         if v.fields is not None:
@@ -236,8 +239,9 @@ class Relational:
                     return None
         if r is None:
             return None
+        tuples = any(step.tuple for step in n.steps)
         for step in steps:
-            r = self._step(r, step, s)
+            r = self._step(r, step, s, tuples)
         return self._group(r, n.group, s) if n.group is not None else r
 
     def _scope(self, r: Rel, s: Scope) -> Scope:
@@ -275,8 +279,10 @@ class Relational:
         df = with_ordinal(r.df, c, r.order)
         return r.changed(df, names={**r.names, name: Val(F.col(c), DOUBLE)}, order=[F.col(c)])
 
-    def _step(self, r: Rel, step: Node, s: Scope) -> Rel:
+    def _step(self, r: Rel, step: Node, s: Scope, tuples: bool = False) -> Rel:
         before = r.item
+        # Without bindings, positions count in what each item gives, not in the whole stream.
+        own = not tuples and step.kind != "sort" and any(what == "filter" and self._positional(t) for what, t in step.stages or ())
         if step.kind == "sort":
             keys = []
             for t, down in step.terms:
@@ -291,7 +297,7 @@ class Relational:
             got = MISSING if r.at_root else field_of(r.item, step.value)
             if got.missing and step.value in self.catalog and (r.at_root or r.names):
                 return self._join(r, step, s)
-            out = self._items(r, got, step.value)
+            out = self._items(r, self._own(r, got, step, s) if own else got, step.value)
         else:
             bare = Node(step.kind, step.pos, **{k: x for k, x in step.__dict__.items() if k not in ("kind", "pos", "stages", "focus", "index", "cons")})
             try:
@@ -300,9 +306,16 @@ class Relational:
                 got = self._document(r, bare, s)
             if step.kind == "array" and got.many:
                 got = Val(got.col, T.ArrayType(got.dtype, False))
-            out = self._items(r, got, "value")
+            out = self._items(r, self._own(r, got, step, s) if own else got, "value")
+        if own:
+            step = Node(step.kind, step.pos, **{k: x for k, x in step.__dict__.items() if k not in ("kind", "pos", "stages")})
         return self._after(step, replace(out, at_root=False), before, s)
 
+    def _own(self, r: Rel, got: Val, step: Node, s: Scope) -> Val:
+        for stage in step.stages:
+            got = self.compiler.filter(got, stage, self._scope(r, s))
+        return got
+
     def _document(self, r: Rel, n: Node, s: Scope) -> Val:
         """A step that types don't carry, by the document evaluator over each item: JSON text."""
         if r.at_root or r.parents or any(v.col is not None and not v.is_const for v in r.names.values()):
@@ -622,7 +635,7 @@ class Relational:
                     inner_keys.append(pair[0])
                     outer_keys.append(pair[1])
         for step in steps[1:]:
-            other = self._step(other, step, Scope(self.root, self.root, {}, None))
+            other = self._step(other, step, Scope(self.root, self.root, {}, None), False)
         if not inner_keys:
             raise Unsupported("a table inside a row")
         names = [f"_{next(_fresh)}" for _ in inner_keys]

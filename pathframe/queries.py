@@ -131,6 +131,16 @@ QUERIES: dict[str, Query] = {
     "transform": Q('orders ~> |$|{"o_orderstatus": $lowercase(o_orderstatus), "flag": o_totalprice > 100000}, ["o_orderdate", "o_orderpriority"]|', "orders", "select o_orderkey, o_custkey, lower(o_orderstatus) o_orderstatus, o_totalprice, o_totalprice > 100000 flag from orders"),
     "transform_nested": Q('orders.{"o": o_orderkey, "s": $sum(($ ~> |lines[l_quantity > 40]|{"l_quantity": 40.0}|).lines.l_quantity)}', "orders lineitem", "select o_orderkey o, (select sum(least(l_quantity, 40)) from lineitem where l_orderkey = o_orderkey) s from orders", _with_lines),
     "eval_inline": Q('orders.{"k": o_orderkey, "v": $eval("o_totalprice + 1")}', "orders", "select o_orderkey k, o_totalprice + 1 v from orders"),
+    "step_stage": Q('nation.([n_nationkey, n_regionkey, 7])[1]', "nation", "select n_regionkey::double as value from nation"),
+    "index_per_item": Q("orders.lines[0].l_linenumber", "orders lineitem", "select min(l_linenumber) l_linenumber from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey", _with_lines),
+    "index_of_stream": Q("(orders.lines)^(l_extendedprice, l_partkey, l_linenumber)[0].l_linenumber", "orders lineitem", "select l_linenumber from lineitem join orders on l_orderkey = o_orderkey order by l_extendedprice, l_partkey, l_linenumber limit 1", _with_lines),
+    "append_arrays": Q('embeddings.{"k": vec_id, "n": $count($append(embedding, [1, 2]))}', "embeddings", "select vec_id k, (len(embedding) + 2)::double n from embeddings"),
+    "lambda_signature": Q('( $add := function($x, $y)<nn:n> { $x + $y }; supplier.{"k": s_suppkey, "v": $add(s_acctbal, 1)} )', "supplier", "select s_suppkey k, s_acctbal + 1 v from supplier"),
+    "inline_rows": Q('[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}].{"s": a * 2, "b": b}', "region", "select * from (values (2::double, 'x'), (4::double, 'y')) t(s, b)"),
+    "root_scalar": Q('{"nations": $count($$.nation), "regions": $count($$.region)}', "nation region", "select (select count(*) from nation)::double nations, (select count(*) from region)::double regions"),
+    "assert_rows": Q('supplier.{"k": s_suppkey, "a": $exists($assert(s_suppkey >= 0, "negative"))}', "supplier", "select s_suppkey k, false a from supplier"),
+    "join_text": Q('part.{"k": p_partkey, "j": $join($split(p_type, " "), "/")}', "part", "select p_partkey k, replace(p_type, ' ', '/') j from part"),
+    "join_lookup_group": Q('supplier@$s.nation@$n[$s.s_nationkey = $n.n_nationkey].region@$r[$n.n_regionkey = $r.r_regionkey]{$r.r_name: {"n": $count($s), "hi": $max($s.s_acctbal)}}', "supplier nation region", "select r_name as key, count(*)::double n, max(s_acctbal) hi from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1"),
     "membership": Q('embeddings.{"k": vec_id, "b": label in [1, 3, 5]}', "embeddings", "select vec_id k, label in (1, 3, 5) b from embeddings"),
 }
 
