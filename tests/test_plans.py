@@ -136,3 +136,44 @@ def test_registered_columns(spark, small):
     e = compile("nation[n_nationkey = 3].{'v': $shout(n_name)}").register_column("shout", lambda c: F.concat(F.upper(c), F.lit("!")), "string", lambda s: s.upper() + "!")
     got = e.on({"nation": nation}).collect()[0].v
     assert got == e.evaluate({"nation": [r.asDict() for r in nation.collect()]})["v"]
+
+
+TABLE_EXPRESSIONS = [
+    "nation.n_name", "nation[n_regionkey = 1].n_name", "nation[0].n_name", "nation[-1].n_name".replace("[-1]", "^(n_nationkey)[-1]"), "nation.n_name[0]", "nation.(n_name & '!')", "nation.[n_nationkey, n_regionkey]",
+    "nation.{'a': n_name, 'b': n_regionkey > 2 ? 'hi'}", "nation^(>n_regionkey, n_name).n_nationkey", "nation^(n_name)[[2..4]].n_name", "$count(nation)", "$sum(nation.n_nationkey)", "$sum(nation[n_nationkey > 99].n_nationkey)",
+    "nation{$string(n_regionkey): $count($)}", "nation{$string(n_regionkey): $max(n_nationkey)}", "nation[n_nationkey < 6]{n_name: $sum(n_regionkey)}", "region@$r.nation@$n[$r.r_regionkey = $n.n_regionkey].{'r': $r.r_name, 'n': $n.n_name}",
+    "region@$r.nation[$r.r_regionkey = n_regionkey].n_name", "nation[n_regionkey in $$.region[r_name != 'ASIA'].r_regionkey].n_name", "nation[$not(n_nationkey in $$.supplier.s_nationkey)].n_nationkey", "$distinct(nation.n_regionkey)",
+    "[nation.n_regionkey, region.r_regionkey]", "$append(nation.n_name, region.r_name)", "nation#$i[$i < 3].{'i': $i, 'n': n_name}", "nation[n_nationkey < 5]#$i.{'i': $i}", "region.($k := r_regionkey; {'r': r_name, 'n': $count($$.nation[n_regionkey = $k])})",
+    "($x := nation[n_regionkey > 1]; {'n': $count($x), 's': $sum($x.n_nationkey), 'a': $average($x.n_nationkey)})", "nation ~> |$[n_regionkey = 1]|{'n_name': 'x'}|", "$map(nation, function($n) { $n.n_nationkey * 2 })", "$filter(nation, function($n) { $n.n_regionkey = 4 }).n_name",
+    "nation.nothing", "nation[nothing].n_name", "nation.$uppercase(n_name)", "nation.$substring(n_name, 1, 3)", "$sort(nation.n_name)", "$max(nation.n_nationkey) - $min(nation.n_nationkey)", "nation[n_name = 3].n_name", "nation[n_name != 3].n_nationkey",
+    "$exists(nothing)", "nation.n_nationkey[$ > 20]", "nation.(n_nationkey > 3 and n_regionkey < 2)", "supplier.{'v': $round(s_acctbal)}", "supplier[s_acctbal > 0 or s_nationkey = 3]{$string(s_nationkey): {'n': $count($), 'p': $count($[s_acctbal > 5000])}}",
+]
+
+
+@pytest.mark.parametrize("text", TABLE_EXPRESSIONS)
+def test_tables_equal_documents(spark, small, text):
+    """The same expression over tables and over the same rows as one document."""
+    names = ("nation", "region", "supplier")
+    tables = {t: spark.read.parquet(f"{small}/{t}.parquet") for t in names}
+    document = {t: [r.asDict() for r in df.collect()] for t, df in tables.items()}
+    expected = compile(text).evaluate(document)
+    df = compile(text).on(tables)
+
+    def shown(v):
+        if isinstance(v, dict):
+            return str(sorted((k, shown(x)) for k, x in v.items() if x is not None))
+        if isinstance(v, (list, tuple)):
+            return str([shown(x) for x in v])
+        return repr(float(f"{v:.11g}") + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v)
+
+    rows = [r.asDict(True) for r in df.collect()]
+    grouped = "key" in df.columns
+    if grouped:
+        got = {r.pop("key"): next(iter(r.values())) if set(r) == {"value"} else r for r in rows}
+        assert shown(got) == shown(expected)
+        return
+    objects = isinstance(expected, dict) or isinstance(expected, list) and expected and isinstance(expected[0], dict)
+    values = rows if objects else [next(iter(r.values())) for r in rows]
+    values = [v for v in values if v is not None]
+    wanted = [] if expected is None else expected if isinstance(expected, list) and not (len(values) == 1 and isinstance(values[0], (list, tuple))) else [expected]
+    assert sorted(map(shown, values)) == sorted(map(shown, wanted))
