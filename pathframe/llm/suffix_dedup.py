@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathframe.llm.common import cut
+from pathframe.llm.common import cut, release, tidy
 
 #: Offsets per block, pass by pass; the last must be 1.
 STEPS = (16, 1)
@@ -133,6 +133,7 @@ def _scan(window: int):
                         c.append(x)
             if columns[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["k1", "k2", "lo", "place", "gram", "c"])
+                tidy()
 
     return run
 
@@ -186,6 +187,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
     ``docs(k1, k2, text)``; a range may be given in parts and more than once.
     """
+    spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= window)
     found = long.select("k1", "k2", "text").mapInArrow(_scan(window), _INTERVALS)
     groups = found.groupBy("gram", "c").agg(F.count("*").alias("n"))
@@ -194,14 +196,19 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     repeated = [left.where("n > 1").select("k1", "k2", "lo", place)]
     ranges = _next(left.withColumn("single", F.lit(True)), "gram")
     for step in STEPS:
-        blocks = cut(_texts(docs, ranges).mapInArrow(_split(window, step), _BLOCKS))
+        texts = _texts(docs, ranges)
+        del found, groups, left, ranges
+        release(spark)
+        found = cut(texts.mapInArrow(_split(window, step), _BLOCKS))
         # A member that stands for a group counts as the two that it had at least.
-        groups = blocks.groupBy("core", "c").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"))
+        groups = found.groupBy("core", "c").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"))
+        del texts
+        release(spark)
         if step == 1:
-            left = blocks.where("single").join(groups.where("n > 1").select("core", "c"), ["core", "c"])
-            repeated.append(left.select("k1", "k2", "lo", place))
+            left = found.where("single").join(groups.where("n > 1").select("core", "c"), ["core", "c"])
+            repeated.append(cut(left.select("k1", "k2", "lo", place)))
             break
-        left = _kept(blocks, groups, "core")
+        left = _kept(found, groups, "core")
         repeated.append(left.where("single and n > 1").select("k1", "k2", "lo", place))
         ranges = _next(left, "core")
     out = repeated[0]
@@ -251,6 +258,7 @@ def _remove(window: int):
             yield pa.record_batch(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
             )
+            tidy()
 
     return run
 
@@ -261,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id: str = "doc_id", text:
     rows = docs.select(
         F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(value).alias("k1"), F.xxhash64(F.lit(1), value).alias("k2"), value.alias("text")
     )
-    found = repeated_windows(rows, window)
-    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more")).alias("ranges"))
+    lists = cut(repeated_windows(rows, window).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more")).alias("ranges")))
+    release(docs.sparkSession)
     joined = rows.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_remove(window), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
