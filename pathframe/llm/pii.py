@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathframe.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,27 +157,27 @@ DOT_WORDS = ("dot", "punto", "point", "punkt", "period")
 _ODD = re.compile(rf"[^\x00-\xac\xae-˿]|[{INVISIBLE}ıɡ·]")
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _CLOSE = r"[\[({<|]", r"[\])}>|]"
-_MARK_AT = re.compile(rf"\s*(?:{_OPEN}\s*(?:{_AT}|@|a)\s*{_CLOSE}|(?<=\w)[_*-](?:{_AT})[_*-](?=\w))\s*", re.I)
-_MARK_DOT = re.compile(rf"\s*(?:{_OPEN}\s*(?:{_DOT}|\.|d[o0]t)\s*{_CLOSE}|(?<=\w)[_*-](?:{_DOT})[_*-](?=\w))\s*", re.I)
+_MARK_AT = re.compile(rf"\s*(?:{_OPEN}\s*(?:{_AT}|@|a)\s*{_CLOSE}|(?:(?<=\w)|(?<=\s))[_*-](?:{_AT})[_*-](?=[\w\s]))\s*", re.I)
+_MARK_DOT = re.compile(rf"\s*(?:{_OPEN}\s*(?:{_DOT}|\.|d[o0]t)\s*{_CLOSE}|(?:(?<=\w)|(?<=\s))[_*-](?:{_DOT})[_*-](?=[\w\s]))\s*", re.I)
 _WORD_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9])", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s*@\s*(?=[A-Za-z0-9])")
 #: Stands for a dot that was disguised until "at" is decided.
 _FOUND = ""
 _WORD_AT_FOUND = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_FOUND}[A-Za-z0-9-]+)", re.I)
 _WORD_AT_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,10}}(?![A-Za-z0-9]))", re.I)
-_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9-])\s+\.\s+(?=[A-Za-z0-9])")
+_SPACED_DOT = re.compile(r"@[A-Za-z0-9-]+(?:\s+\.\s*[A-Za-z0-9-]+)+(?![A-Za-z0-9-])")
 _WORDS = "|".join(sorted((*DIGIT_WORDS, *REPEATS), key=len, reverse=True))
 _ONE = rf"(?:(?:{_WORDS})(?!\w)|[0-9])"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)})[\s,-]+)?{_ONE}(?:[\s,./()-]*(?<![a-zA-Z0-9]){_ONE}|(?<=[0-9])[0-9])+", re.I)
 _TOKEN = re.compile(rf"({'|'.join(PLUS_WORDS)})(?!\w)|({_WORDS})(?!\w)|([0-9])", re.I)
 _MIXED = re.compile(r"[0-9OoIl]{2,}")
-_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT}|[@.a]|d0t)\s*{_CLOSE}|(?<=\w)[_*-](?:{_AT}|{_DOT})[_*-]\w|\s(?:{_DOT})\s", re.I)
+_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT}|[@.a]|d0t)\s*{_CLOSE}|[_*-](?:{_AT}|{_DOT})[_*-]|\s(?:{_DOT})\s", re.I)
 _HINT_AT = re.compile(rf"[0-9_.]\S*\s+(?:{_AT})\s+\S+\.[A-Za-z]", re.I)
 _HINT_MIXED = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 _INNER_DOT = re.compile(r"\.[A-Za-z]")
 _HINT_DIGITS = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,./-]+(?:{_WORDS}|[0-9])[\s,./-]+(?:{_WORDS}|[0-9])(?!\w)", re.I)
 _DIGIT_WORDS = frozenset(DIGIT_WORDS)
-#: A run of spelled digits has so many different ones, or it is words repeated.
+#: A run of spelled digits has so many different ones, or it is a word repeated.
 DISTINCT_DIGITS = 3
 
 
@@ -187,14 +189,14 @@ def _disguised(text: str, digit: bool) -> bool:
     if any(c in text for c in "[({<|_*") or any(w in low for w in DOT_WORDS) or any(f"-{w}-" in low for w in AT_WORDS):
         if _HINT.search(text):
             return True
-    if "@" in text and (" @" in text or "@ " in text):
+    if "@" in text and (" @" in text or "@ " in text or _SPACED_DOT.search(text)):
         return True
     if digit and _HINT_MIXED.search(text):
         return True
     if any(f" {w} " in low for w in AT_WORDS) and _INNER_DOT.search(text) and _HINT_AT.search(text):
         return True
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").replace("/", " ").split()
-    return len(_DIGIT_WORDS.intersection(words)) >= DISTINCT_DIGITS and bool(_HINT_DIGITS.search(text))
+    words = low.replace(",", " ").replace("-", " ").replace(".", " ").replace("/", " ").replace("(", " ").replace(")", " ").split()
+    return len(_DIGIT_WORDS.intersection(words)) >= (1 if digit else DISTINCT_DIGITS) and bool(_HINT_DIGITS.search(text))
 
 
 def _fold(m: re.Match) -> str:
@@ -211,8 +213,9 @@ def _fold(m: re.Match) -> str:
 
 
 def _spelled(m: re.Match) -> str | None:
-    words = [DIGIT_WORDS.get(t[2].lower()) for t in _TOKEN.finditer(m[0]) if t[2]]
-    if len(set(words) - {None}) < DISTINCT_DIGITS:
+    found = list(_TOKEN.finditer(m[0]))
+    digits = {t[3] or DIGIT_WORDS.get(t[2].lower()) for t in found if t[2] or t[3]} - {None}
+    if len(digits) < DISTINCT_DIGITS or sum(1 for t in found if t[2]) < 2:
         return None
     out, times, plus, last = [], 1, "", 0
     for t in _TOKEN.finditer(m[0]):
@@ -249,6 +252,7 @@ def normalise(text: str) -> Mapped:
     m = m.rewrite(_WORD_AT_PLAIN, lambda x: "@" if re.search(r"[0-9._]", re.search(r"\S*\Z", x.string[max(0, x.start() - 64) : x.start()])[0]) else None)
     m = m.rewrite(re.compile(_FOUND), lambda x: ".")
     m = m.rewrite(_SPACED_AT, lambda x: "@")
+    m = m.rewrite(_SPACED_DOT, lambda x: "".join(x[0].split()))
     m = m.rewrite(_SPELLED, _spelled)
     return m
 
@@ -317,6 +321,7 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 plain.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in p])
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in s])
             yield pa.record_batch([b.column(0), pa.array(plain, _SPANS), pa.array(spans, _SPANS)], names=["doc_id", "plain", "spans"])
+            tidy()
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
