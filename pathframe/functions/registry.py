@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from functools import cmp_to_key
 from typing import Any
 
-from pathframe.dynamic.evaluate import Frame, Native, Run, compare_keys, compile_node, evaluate, same
+from pathframe.dynamic.evaluate import Frame, Native, Run, compare_keys, compile_node, evaluate, same, settle
 from pathframe.dynamic.values import MISSING, Function, Outer, Seq, append, hashable, is_number, lookup, precise, truthy, yes
 from pathframe.errors import CompileError, EvalError
 from pathframe.functions import dates, numbers, regex, text
@@ -236,9 +237,33 @@ def boolean(x: Any) -> Any:
 # -- with the evaluation's own state ---------------------------------------------------
 
 
+def _once(pairs: list[tuple[str, Any]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def _no_constant(name: str) -> Any:
+    raise ValueError(name)
+
+
+def _data(source: str) -> Any:
+    """The value of JSON text, which as an expression stands for itself; MISSING if it isn't JSON."""
+    if source[:1] not in ("{", "["):
+        return MISSING
+    try:
+        return json.loads(source, parse_int=float, parse_constant=_no_constant, object_pairs_hook=_once)
+    except (ValueError, RecursionError):
+        return MISSING
+
+
 def eval_(frame: Frame, context: Any, source: Any, focus: Any = MISSING) -> Any:
     if source is MISSING:
         return MISSING
+    value = _data(source)
+    if value is not MISSING:
+        return value
     if focus is not MISSING:
         context = Outer([focus]) if isinstance(focus, list) and not isinstance(focus, Outer) else focus
     try:
@@ -246,8 +271,6 @@ def eval_(frame: Frame, context: Any, source: Any, focus: Any = MISSING) -> Any:
     except CompileError as e:
         raise EvalError("D3120", str(e), value=e.code) from e
     try:
-        from pathframe.dynamic.evaluate import settle
-
         return settle(code(context, frame))
     except EvalError as e:
         raise EvalError("D3121", str(e), value=e.code) from e
