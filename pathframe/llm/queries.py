@@ -124,6 +124,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
+_OP1_SQL = """
+with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (
+  select rid, i, md5(substring(h, 2 * i + 1, 800)) k
+  from (select rid, h, unnest(range(0, len(h) // 2 - 399)) i from d where len(h) >= 800)),
+p as (select rid, i from w where k in (select k from w group by k having count(*) > 1)),
+s as (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 400 then 0 else 1 end fresh from p),
+r as (
+  select rid, min(i) a, max(i) + 400 b
+  from (select rid, i, sum(fresh) over (partition by rid order by i rows unbounded preceding) run from s) group by rid, run),
+g as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) e from r),
+k as (
+  select rid, string_agg(substring(h, 2 * e + 1, 2 * (a - e)), '' order by a) kept, max(b) b, sum(b - a) n_removed, count(*) n_spans
+  from g join d using (rid) group by rid)
+select doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(b, 0) + 1))) kept_sha256
+from d left join k using (rid)
+"""
+
 _OP2_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
@@ -211,4 +230,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL, "op6_chat_format": _OP6_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1_SQL, "op2_decontaminate": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op5_embed_dedup": _OP5_SQL, "op6_chat_format": _OP6_SQL}
