@@ -177,3 +177,11 @@ def test_tables_equal_documents(spark, small, text):
     values = [v for v in values if v is not None]
     wanted = [] if expected is None else expected if isinstance(expected, list) and not (len(values) == 1 and isinstance(values[0], (list, tuple))) else [expected]
     assert sorted(map(shown, values)) == sorted(map(shown, wanted))
+
+
+def test_windowed_groups(spark):
+    from pathframe.streaming.rows import windowed_groups
+
+    rows = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:20", "a"), ("2024-01-01 00:01:10", "b")], "t string, s string").select(F.to_timestamp("t").alias("t"), "s")
+    got = windowed_groups(compile("$uppercase(s)"), rows, "t", "1 minute", "5 minutes").collect()
+    assert sorted((r.key, r.n) for r in got) == [("A", 2), ("B", 1)]
