@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathframe.llm.common import LOWER, UPPER, connected_components, cut
+from pathframe.llm.common import LOWER, UPPER, connected_components, cut, tidy
 from pathframe.llm.tiles import deal, each_group, spanning
 
 FAN = 8
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         for b in batches:
             found = [_fingerprint((t.as_buffer().to_pybytes() if t.is_valid else b""), words) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(found, "<u8").view("<i8"))], names=["doc_id", "f"])
+            tidy()
 
     return docs.select(F.col(id).cast(id_type).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, f bigint")
 
@@ -238,7 +239,8 @@ def drop_near_copies(
     parts = connected_components(near)
     rows = prints.join(parts, prints.h == parts.node, "left").select("id", "h", F.coalesce("component", "h").alias("g"))
     order = F.struct(F.col("id").isNull().alias("z"), "id", "h")
-    groups = rows.groupBy("g").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1")
+    # Stored, so that the join deals both sides anew and can split a large group.
+    groups = cut(rows.groupBy("g").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1"))
     gone = rows.join(groups, "g").where(~(F.col("id").eqNullSafe(F.col("m.id")) & (F.col("h") == F.col("m.h"))))
     gone = cut(gone.select(F.col("id").alias("_pf_id"), F.col("h").alias("_pf_h")).distinct())
     kept = keyed.join(gone, keyed[id].cast("bigint").eqNullSafe(gone["_pf_id"]) & (keyed["_pf_text"] == gone["_pf_h"]), "left_anti")
