@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathframe.llm.common import cut, shared_dir
+from pathframe.llm.common import cut, shared_dir, tidy
 
 #: Words whose ids a worker keeps; a longer word is encoded each time.
-CACHE_WORDS, CACHE_CHARS = 800_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
+#: Text that is split and looked up at once.
+PIECE_BYTES = 1 << 20
+_RUNS = re.compile(r"[^\W\d_]+|[0-9]|[\W_]+")
+#: Latin letters and ASCII signs: what these classes and the tokenizer's agree on.
+_SIMPLE = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+")
 #: New words that are encoded as one text.
 TOGETHER = 2000
 
@@ -59,21 +66,32 @@ class Encoder:
         self.by_words = by_words
         self.cache: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") if by_words else None
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        if suffix:
-            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self.plain = self.tokenizer
+        if by_words:
+            known = json.loads(self.tokenizer.to_str())
+            if suffix := known["model"].get("end_of_word_suffix"):
+                self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+            # The same model for words that are normal already: nothing is folded, only blanks divide.
+            steps = known["pre_tokenizer"] or {}
+            levels = [x for x in steps.get("pretokenizers", [steps]) if x.get("type") == "ByteLevel"]
+            known |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *levels]}}
+            self.plain = Tokenizer.from_str(json.dumps(known))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return self._ids(self.tokenizer, texts)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str], tokenizer) -> list[bytes]:
         """Ids of words of letters only, many at a time."""
         out: list[bytes] = []
         for k in range(0, len(words), TOGETHER):
             some = words[k : k + TOGETHER]
-            ids = self._encode([" ".join(some)])[0]
+            ids = self._ids(tokenizer, [" ".join(some)])[0]
             stops = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
             # Each word ends at least once: as many ends as words are one each.
             if len(stops) == len(some) and stops[-1] == len(ids):
@@ -82,42 +100,49 @@ class Encoder:
                 out += self._encode(some)
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         cache = self.cache
-        # A letter before one closing mark always ends a word: the mark's ids follow the word's.
-        # Latin words are looked up in lower case, as the tokenizer reads them.
-        parts = []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].lower().isalpha() and "'" not in w else (w, "")
-            parts.append((core.lower() if core.isalpha() and max(core) < "\u0180" and "İ" not in core else core, mark))
-        new = {y for p in parts for y in p if y not in cache}
-        plain = [x for x in new if x.isalpha() and max(x) < "\u0180"]
-        other = list(new.difference(plain))
-        cache.update(zip(plain, self._encode_words(plain), strict=True))
+        plain = [w for w in words if w.isalpha()]
+        # Between letters and other signs a word always ends, but for contractions.
+        mixed = {w: _RUNS.findall(w) for w in words.difference(plain) if "'" not in w and "<|" not in w and _SIMPLE.fullmatch(w)}
+        parts = set(chain.from_iterable(mixed.values())).difference(cache, plain)
+        plain += [p for p in parts if p.isalpha()]
+        other = [*parts.difference(plain), *words.difference(plain, mixed)]
+        normal = [w for w in plain if w.islower() and (w.isascii() or _SIMPLE.fullmatch(w))]
+        rest = list(set(plain).difference(normal)) if len(normal) < len(plain) else []
+        cache.update(zip(normal, self._encode_words(normal, self.plain), strict=True))
+        cache.update(zip(rest, self._encode_words(rest, self.tokenizer), strict=True))
         cache.update(zip(other, self._encode(other), strict=True))
-        cache.update((w, cache[a] + cache[b]) for w, (a, b) in zip(words, parts, strict=True) if w not in cache)
+        cache.update([(w, b"".join(map(cache.__getitem__, runs))) for w, runs in mixed.items()])
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_words:
-            return self._encode([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        cache = self.cache
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Parts whose ids add up to the text's: nothing that the tokenizer joins is cut."""
         try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
+            text.encode("latin-1")
+            text = text.lower()  # as the tokenizer does, letter by letter here
+        except UnicodeEncodeError:
             pass
-        new = {w for w in words if w not in cache}
-        long = {w for w in new if len(w) > CACHE_CHARS}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            cache[""] = b""
-            new = set(words) - {""}
-            long = {w for w in new if len(w) > CACHE_CHARS}
-        self._learn(list(new))
-        ids = b"".join(map(cache.__getitem__, words))
-        for w in long:
-            del cache[w]
-        return ids
+        return text.replace("\n", " ").split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._encode(texts)
+        cache = self.cache
+        split = [self._split(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(cache)
+        kept = len(cache)
+        self._learn(new)
+        found = [b"".join(map(cache.__getitem__, words)) for words in split]
+        if kept >= CACHE_WORDS:
+            # Frequent words come early; once the cache is full, later ones stay for one call.
+            while len(cache) > kept:
+                cache.popitem()
+        else:
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del cache[w]
+        return found
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -129,6 +154,18 @@ def _encoder(path: str, by_words: bool) -> Encoder:
     return _encoders[path, by_words]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PIECE_BYTES``, a row at least."""
+    first, size = 0, 0
+    for i, v in enumerate(batch.column(1)):
+        size += v.as_buffer().size if v.is_valid else 0
+        if size >= PIECE_BYTES:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
@@ -266,9 +303,12 @@ def write_token_files(
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrows"
         out = None
         for b in batches:
-            for doc_id, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part in _pieces(b):
+                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 out = out or SequenceWriter(system, f"{at}/{name}", length, dtype, batch_rows)
-                out.add(doc_id, np.frombuffer(encoder.encode(value.as_py() or "") + end, "<u4"))
+                for doc_id, found in zip(part.column(0).to_pylist(), ids, strict=True):
+                    out.add(doc_id, np.frombuffer(found + end, "<u4"))
+            tidy()
         if out:
             out.close()
             yield pa.record_batch([[task.partitionId()], [f"{folder}/{name}"], [out.n_docs], [out.n_tokens]], names=["part", "path", "n_docs", "n_tokens"])
