@@ -39,6 +39,9 @@ FAN = 8
 TILE_ROWS = 4096
 #: Text keys up to which a broadcast narrows the texts that are verified, at 8 bytes each.
 MAX_BROADCAST_KEYS = 1_000_000
+#: Bands of least hashes, and orders in a band: of pairs with Jaccard similarity 0.8, (1 - 0.8 ** 6) ** 32 share no band.
+BANDS, BAND_ORDERS = 32, 6
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -47,30 +50,50 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(_fingerprint((text or "").encode(), words))
 
 
-def _fingerprint(text: bytes, words: int, chunk: int = 1 << 16) -> np.uint64:
+def _fingerprint(text: bytes, words: int) -> np.uint64:
     parts = text.translate(_LOW).split()
-    if not parts:
-        return np.uint64(0)
+    return _majority(_hashes(parts, words)) if parts else np.uint64(0)
+
+
+def _hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """A hash of each run of ``words`` parts; of all of them where they are fewer."""
     whole = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(whole, 42)]
-    else:
-        ends, at = [], -1
-        for p in parts:
-            at += len(p) + 1
-            ends.append(at)
-        digest = xxhash.xxh64_intdigest
-        begins = [0, *(e + 1 for e in ends)]
-        hashes = [digest(whole[a:b], 42) for a, b in zip(begins, ends[words - 1 :])]  # noqa: B905
-    all_hashes = np.array(hashes, dtype="<u8")
+        return np.array([digest(whole, 42)], "<u8")
+    ends, at = [], -1
+    for p in parts:
+        at += len(p) + 1
+        ends.append(at)
+    begins = [0, *(e + 1 for e in ends)]
+    return np.array([digest(whole[a:b], 42) for a, b in zip(begins, ends[words - 1 :])], "<u8")  # noqa: B905
+
+
+def _majority(hashes: np.ndarray, chunk: int = 1 << 16) -> np.uint64:
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(all_hashes), chunk):
-        some = all_hashes[k : k + chunk]
+    for k in range(0, len(hashes), chunk):
+        some = hashes[k : k + chunk]
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(all_hashes)).astype(np.uint8)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view("<u8")[0]
 
 
+def band_keys(hashes: np.ndarray, chunk: int = 1 << 9) -> np.ndarray:
+    """A key for each of ``BANDS`` bands: the least of the hashes in ``BAND_ORDERS`` orders.
+
+    Two sets of Jaccard similarity ``J`` agree on an order's least hash with
+    probability ``J``.
+    """
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), chunk):
+        np.minimum(least, np.multiply.outer(_ORDERS, hashes[k : k + chunk]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ORDERS).T:
+        keys = (keys ^ column) * _ORDERS[0]
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, id_type: str = "bigint") -> DataFrame:
     """``(doc_id, f)``, ``f`` being the fingerprint's 64 bits as a bigint."""
 
@@ -203,6 +226,34 @@ def near_duplicates(
     )
 
 
+def _prints(keyed: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """``(id, h, f, bands)`` from the word shingles of lower-cased texts; ``h`` is ``_pf_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [_hashes(_parts(t), words) for t in b.column(2)]
+            f = np.array([_majority(x) for x in hashes], "<u8").view("<i8")
+            bands = np.concatenate([band_keys(x) for x in hashes] or [np.empty(0, np.uint64)]).view("<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), pa.array(bands))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(f), lists], names=["id", "h", "f", "bands"])
+            tidy()
+
+    rows = keyed.select(F.col(id).cast("bigint").alias("id"), F.col("_pf_text").alias("h"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "id bigint, h bigint, f bigint, bands array<bigint>")
+
+
+def _parts(text: pa.Scalar) -> list[bytes]:
+    return text.as_buffer().to_pybytes().decode(errors="replace").lower().encode().split() if text.is_valid else []
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` for ``nodes(h, bands)``: the smallest member of each band's cell with each other one."""
+    members = nodes.select("h", F.explode("bands").alias("cell"))
+    # Stored, so that the join deals both sides anew and can split a large cell.
+    heads = cut(members.groupBy("cell").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").select("cell", "a"))
+    return members.join(heads, "cell").where("a < h").select("a", F.col("h").alias("b"))
+
+
 def _shingle_set(text: str, words: int):
     low = F.split(F.trim(F.regexp_replace(F.coalesce(F.lower(F.col(text)), F.lit("")), "[\x20\x09-\x0D]+", " ")), " ")
     last = F.greatest(F.size("w") - (words - 1), F.lit(1))
@@ -214,19 +265,17 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, all columns kept.
 
-    Texts whose fingerprints are within ``max_bits`` are candidates; of their
-    links a spanning forest a cell is verified: the Jaccard similarity of the
+    Texts whose fingerprints are within ``max_bits``, or that share a band of
+    least shingle hashes, are candidates; of their links a spanning forest a cell is verified: the Jaccard similarity of the
     sets of word shingles must be at least ``similarity``.  Groups are what
     verified links and equal texts connect; the document with the smallest id
     stays.  Equal rows are one document; rows with a null id come after all
     others of their group.
     """
     keyed = docs.withColumn("_pf_text", F.xxhash64(F.col(text)))
-    key = F.struct(F.col(id).cast("bigint").alias("id"), F.col("_pf_text").alias("h"))
-    prints = fingerprints(keyed.select(key.alias("k"), F.col(text).alias("t")), "k", "t", words, "struct<id:bigint,h:bigint>")
-    prints = cut(prints.select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"), "f"))
-    nodes = cut(prints.groupBy("h").agg(F.first("f").alias("f")))
-    links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits)
+    prints = cut(_prints(keyed, id, text, words))
+    nodes = cut(prints.groupBy("h").agg(F.first("f").alias("f"), F.first("bands").alias("bands")))
+    links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits).unionByName(band_links(nodes))
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = links.select(F.explode(F.array("a", "b")).alias("_pf_text")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted

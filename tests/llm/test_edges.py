@@ -145,6 +145,40 @@ def test_simhash(docs, none):
     assert simhash_dedup.drop_near_copies(none).count() == 0
 
 
+def near_components(texts, similarity, words=5):
+    """The smallest index that pairs of at least ``similarity`` lead to, by comparing all."""
+    sets = [frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) for w in map(str.split, texts)]
+    parts = list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if parts[i] != parts[j] and len(x & y) >= similarity * len(x | y):
+                low, high = sorted((parts[i], parts[j]))
+                parts = [low if p == high else p for p in parts]
+    return parts
+
+
+def varied(rnd, text, changes):
+    words = text.split()
+    for k in rnd.sample(range(len(words)), changes):
+        words[k] = f"x{rnd.random()}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_near_copies_equal_brute_force(spark, similarity):
+    import random
+
+    rnd = random.Random(similarity)
+    texts = []
+    for _ in range(150):
+        base = " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(40, 200)))
+        texts += [base, varied(rnd, base, rnd.randint(0, 4))]
+    want = near_components(texts, similarity)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash_dedup.drop_near_copies(df, similarity=similarity).collect())
+    assert kept == sorted(set(want)) and len(kept) < len(texts)
+
+
 @pytest.mark.parametrize("bits", [0, 1, 4, 6])
 def test_gray_index_finds_all_pairs(bits):
     rng = np.random.default_rng(bits)
