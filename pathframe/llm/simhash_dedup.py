@@ -37,6 +37,8 @@ from pathframe.llm.tiles import deal, each_group, spanning
 
 FAN = 8
 TILE_ROWS = 4096
+#: Shingles in a tile of texts that are compared, on average, and bytes of them that a task holds.
+TILE_SHINGLES, HELD_BYTES = 1 << 20, 32 << 20
 #: Text keys up to which a broadcast narrows the texts that are verified, at 8 bytes each.
 MAX_BROADCAST_KEYS = 1_000_000
 #: Bands of least hashes, and orders in a band: of pairs with Jaccard similarity 0.8, (1 - 0.8 ** 6) ** 32 share no band.
@@ -254,10 +256,94 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return members.join(heads, "cell").where("a < h").select("a", F.col("h").alias("b"))
 
 
-def _shingle_set(text: str, words: int):
-    low = F.split(F.trim(F.regexp_replace(F.coalesce(F.lower(F.col(text)), F.lit("")), "[\x20\x09-\x0D]+", " ")), " ")
-    last = F.greatest(F.size("w") - (words - 1), F.lit(1))
-    return low, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, words))))
+def _sets(found: DataFrame, words: int) -> DataFrame:
+    """``(h, s, n)`` for ``found(h, t)``: the different shingle hashes and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_hashes(_parts(t), words)).view("<i8") for t in b.column(1)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets or [np.empty(0, np.int64)])))
+            yield pa.record_batch([b.column(0), lists, pa.array(sizes)], names=["h", "s", "n"])
+            tidy()
+
+    return found.mapInArrow(run, "h bigint, s array<bigint>, n bigint")
+
+
+def similar_sets(values: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that connect all sets linked by a Jaccard similarity of at least ``similarity``.
+
+    Set ``i`` is ``values[offsets[i]:offsets[i + 1]]``, without repeats.  A set
+    that was reached is compared with all that were not, so every pair is
+    compared or already connected.
+    """
+    n = len(offsets) - 1
+    sizes = np.diff(offsets)
+    member = np.repeat(np.arange(n), sizes)
+    _, word, times = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True, return_counts=True)
+    shared = times[word] > 1
+    word, member = word[shared], member[shared]
+    own = np.searchsorted(member, np.arange(n + 1))
+    left = np.ones(n, bool)
+    count, posted = n, 2 * n + 1  # sets not reached, now and when the postings were made
+    postings = at = np.empty(0, np.int64)
+    reached: list[int] = []
+    first = 0
+    taken_i, taken_j = [], []
+    while count:
+        if reached:
+            q = reached.pop()
+        else:
+            first += int(left[first:].argmax())
+            q = first
+            left[q] = False
+            count -= 1
+        if 2 * count < posted:
+            open_ = left[member]
+            order = np.argsort(word[open_], kind="stable")
+            postings, posted = member[open_][order], count
+            at = np.searchsorted(word[open_][order], np.arange(len(times) + 1))
+        w = word[own[q] : own[q + 1]]
+        width = at[w + 1] - at[w]
+        total = int(width.sum())
+        if not total:
+            continue
+        where = np.repeat(at[w] - (np.cumsum(width) - width), width) + np.arange(total)
+        both = np.bincount(postings[where], minlength=n)
+        # The tolerance is for products that are whole but not in floating point.
+        near = np.flatnonzero(left & (both > 0) & (both + 1e-9 >= similarity * (sizes + sizes[q] - both)))
+        left[near] = False
+        count -= len(near)
+        reached += near.tolist()
+        taken_i.append(np.full(len(near), q))
+        taken_j.append(near)
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(taken_i), np.concatenate(taken_j)) if taken_i else (empty, empty)
+
+
+def _verified(similarity: float):
+    def body(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h = table.column("h").to_numpy()
+        sets = table.column("s").combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
+            i, j = similar_sets(values, offsets[a : b + 1].astype(np.int64), similarity)
+            yield pa.record_batch([pa.array(h[a + i]), pa.array(h[a + j])], names=["a", "b"])
+        tidy()
+
+    return body
+
+
+def similar_links(members: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links between ``members(h, s, n, block)`` of one block that are similar, enough to connect whatever is linked.
+
+    Every two members of a block meet in a tile and are compared there, or
+    known to be connected.
+    """
+    dealt = deal(members.withColumn("spread", F.xxhash64("h")), "block", "spread", TILE_ROWS, "n", TILE_SHINGLES)
+    return each_group(dealt.select("g", "h", "s"), _verified(similarity), "a bigint, b bigint", held_bytes=HELD_BYTES)
 
 
 def drop_near_copies(
@@ -266,9 +352,10 @@ def drop_near_copies(
     """``docs`` with one document of each group of near copies, all columns kept.
 
     Texts whose fingerprints are within ``max_bits``, or that share a band of
-    least shingle hashes, are candidates; of their links a spanning forest a cell is verified: the Jaccard similarity of the
-    sets of word shingles must be at least ``similarity``.  Groups are what
-    verified links and equal texts connect; the document with the smallest id
+    least shingle hashes, are candidates.  What candidates connect is a block,
+    and in it all are compared: only texts whose sets of word shingles have a
+    Jaccard similarity of at least ``similarity`` are joined.  Groups are what
+    such pairs and equal texts connect; the document with the smallest id
     stays.  Equal rows are one document; rows with a null id come after all
     others of their group.
     """
@@ -277,14 +364,13 @@ def drop_near_copies(
     nodes = cut(prints.groupBy("h").agg(F.first("f").alias("f"), F.first("bands").alias("bands")))
     links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits).unionByName(band_links(nodes))
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = links.select(F.explode(F.array("a", "b")).alias("_pf_text")).distinct()
+    blocks = cut(connected_components(links))
+    wanted = blocks.select(F.col("node").alias("_pf_text"))
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
-    low, shingles = _shingle_set(text, words)
-    found = keyed.join(wanted, "_pf_text", "left_semi").groupBy("_pf_text").agg(F.first(text).alias(text))
-    sets = cut(found.select(F.col("_pf_text").alias("h"), low.alias("w")).select("h", shingles.alias("s")))
-    pairs = links.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    found = keyed.join(wanted, "_pf_text", "left_semi").groupBy(F.col("_pf_text").alias("h")).agg(F.first(text).alias("t"))
+    sets = cut(_sets(found, words))
+    members = sets.join(blocks, sets.h == blocks.node).select("h", "s", "n", F.col("component").alias("block"))
+    near = cut(similar_links(members, similarity))
     parts = connected_components(near)
     rows = prints.join(parts, prints.h == parts.node, "left").select("id", "h", F.coalesce("component", "h").alias("g"))
     order = F.struct(F.col("id").isNull().alias("z"), "id", "h")

@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def deal(members: DataFrame, cell: str, spread: str, tile_rows: int) -> DataFrame:
+def deal(members: DataFrame, cell: str, spread: str, tile_rows: int, weight: str | None = None, tile_weight: int = 1) -> DataFrame:
     """``members`` with ``g``, the group, and ``side``: 0 or 1 in a group of two tiles, 2 alone.
 
     ``spread`` is a hash column by which members of a cell are dealt to tiles.
-    Cell sizes are counted, never assumed.
+    Cell sizes are counted, never assumed.  With ``weight``, a column, a tile
+    has ``tile_weight`` of it at most, on average.
     """
-    sizes = members.groupBy(cell).agg(F.count("*").alias("n_in_cell")).where("n_in_cell > 1")
-    tiles = F.ceil(F.col("n_in_cell") / F.lit(tile_rows)).cast("int")
+    heavy = F.sum(weight) / F.lit(tile_weight) if weight else F.lit(0.0)
+    sizes = members.groupBy(cell).agg(F.count("*").alias("n_in_cell"), heavy.alias("heavy")).where("n_in_cell > 1")
+    tiles = F.ceil(F.greatest(F.col("n_in_cell") / F.lit(tile_rows), "heavy")).cast("int")
     at = members.join(sizes.withColumn("n_tiles", tiles), cell).withColumn("t", F.pmod(F.col(spread), F.col("n_tiles")).cast("int"))
     dealt = at.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
     return dealt.select(
@@ -34,7 +36,11 @@ def deal(members: DataFrame, cell: str, spread: str, tile_rows: int) -> DataFram
 
 
 def each_group(
-    dealt: DataFrame, body: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, rows: int = 100_000
+    dealt: DataFrame,
+    body: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]],
+    schema: str,
+    rows: int = 100_000,
+    held_bytes: int = 1 << 30,
 ) -> DataFrame:
     """Run ``body(table, starts)`` over whole groups: ``table`` is sorted by ``g`` and ``starts`` has where each group begins.
 
@@ -46,7 +52,7 @@ def each_group(
         for b in batches:
             if b.num_rows:
                 held.append(b)
-            if sum(x.num_rows for x in held) < rows:
+            if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < held_bytes:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             g = table.column("g").to_numpy()

@@ -179,6 +179,46 @@ def test_near_copies_equal_brute_force(spark, similarity):
     assert kept == sorted(set(want)) and len(kept) < len(texts)
 
 
+def families(rnd):
+    """Texts of dense families, many pairs of a family under 0.8 and many over."""
+    texts = []
+    for _ in range(12):
+        base = " ".join(f"w{rnd.randrange(3000)}" for _ in range(100))
+        family = [varied(rnd, base, 3) for _ in range(5)]
+        texts += family + [varied(rnd, t, rnd.randint(1, 4)) for t in family for _ in range(3)]
+    return texts
+
+
+@pytest.mark.parametrize("tile", [4096, 100])
+def test_dense_families_equal_brute_force(spark, monkeypatch, tile):
+    import random
+
+    monkeypatch.setattr(simhash_dedup, "TILE_ROWS", tile)
+    rnd = random.Random(2)
+    base = " ".join(f"w{rnd.randrange(3000)}" for _ in range(100))
+    crowd = [varied(rnd, base, 2) for _ in range(300)]
+    texts = families(rnd) + crowd + [varied(rnd, t, 1) for t in crowd]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash_dedup.drop_near_copies(df, similarity=0.9).collect())
+    assert kept == sorted(set(near_components(texts, 0.9)))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_similar_sets_connect_all_similar_pairs(similarity):
+    import random
+
+    rnd = random.Random(6)
+    texts = [*families(rnd), "lone words", "lone words", "other"]
+    rnd.shuffle(texts)
+    sets = [np.unique(simhash_dedup._hashes(t.encode().split(), 5)) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    parts = list(range(len(texts)))
+    for i, j in zip(*simhash_dedup.similar_sets(np.concatenate(sets), offsets, similarity), strict=True):
+        low, high = sorted((parts[i], parts[j]))
+        parts = [low if p == high else p for p in parts]
+    assert parts == near_components(texts, similarity)
+
+
 @pytest.mark.parametrize("bits", [0, 1, 4, 6])
 def test_gray_index_finds_all_pairs(bits):
     rng = np.random.default_rng(bits)
