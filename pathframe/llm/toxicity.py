@@ -65,9 +65,13 @@ _INNER = re.compile(r"(?<=\w)[.\-_'’·~]+(?=\w)")
 
 
 class TermMatcher:
-    """The terms' trie times the edit automaton, determinised lazily."""
+    """The terms' trie times the edit automaton, determinised lazily.
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    With ``first`` a word's first letter may be edited as any other.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], first: bool = False):
+        self.first = first
         #: Node: children, term that ends here, and the largest budget below.
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int | None] = [None]
@@ -111,7 +115,7 @@ class TermMatcher:
             if c > self.most[n] or best.get((n, w), 9) <= c:
                 continue
             best[n, w] = c
-            if not w and n:
+            if not w and (n or self.first):
                 todo += ((m, c + 2, "") for m in self.children[n].values())
         return frozenset((n, c, w) for (n, w), c in best.items())
 
@@ -135,17 +139,18 @@ class TermMatcher:
                 if x == w[0]:
                     to[int(w[1:]), c, ""] = 0
                 continue
+            edits = n or self.first
             for y, m in self.children[n].items():
                 if x == y:
                     to[m, c, ""] = 0
                 elif y in SIGNS.get(x, ""):
                     to[m, c + 1, ""] = 0
-                elif n:
+                elif edits:
                     to[m, c + 2, ""] = 0
                 # Neighbours swapped: x is the letter after y, then y must follow.
-                if n and x != y and x in self.children[m]:
+                if edits and x != y and x in self.children[m]:
                     to[n, c + 2, y + str(self.children[m][x])] = 0
-            if n:
+            if edits:
                 to[n, c + 2, ""] = 0
         return self._state(self._close(to))
 
@@ -237,20 +242,14 @@ class _Words(dict):
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.matcher = TermMatcher([(t.word, t.stem) for t in model.terms])
+        self.matcher = TermMatcher([(t.word, t.stem) for t in model.terms], first=True)
         self.innocent = model.innocent
         self.exact = {(t.word, t.stem): k for k, t in enumerate(model.terms)}
-        #: A word that begins otherwise matches nothing: first letters are exact or signs.
-        self.begins = {t.word[0] for t in model.terms}
-        self.begins |= {sign for sign, letters in SIGNS.items() if self.begins.intersection(letters)}
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
         if len(self) > self.LIMIT:
             self.clear()
         core = word.strip(_STRIP)
-        if core[:1] not in self.begins:
-            self[word] = None
-            return None
         tail = core.rstrip("!|+*$")
         found = None
         if tail in self.innocent or core in self.innocent:

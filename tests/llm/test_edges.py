@@ -290,6 +290,22 @@ def test_automaton_equals_edit_distance():
         assert bool(m.match(w)) == want, w
 
 
+def test_first_letters_are_edited_too():
+    from itertools import product
+
+    term = "idiot"
+    m = toxicity.TermMatcher([(term, False), ("scum", False), ("disgust", True)], first=True)
+    letters = "abdiostx"
+    once = {term[:k] + term[k + 1 :] for k in range(5)} | {term[:k] + x + term[k + 1 :] for k, x in product(range(5), letters)}
+    once |= {term[:k] + x + term[k:] for k, x in product(range(6), letters)} | {term[:k] + term[k + 1] + term[k] + term[k + 2 :] for k in range(4)}
+    assert {"diiot", "xidiot", "diot", "xdiot"} <= once
+    assert all(m.match(w) is not None for w in once)
+    assert not any(m.match(w) for w in ("xxidiot", "iot", "xdiox", "xscum", "cum", "csum", "isgusting", "xdisgusting"))
+    model = toxicity.ToxicityModel([toxicity.Term("blockhead", False, 6.0, 6.0)], -3.0)
+    assert all(model.score(f"just a {w} in town") > 0.5 for w in ("blockhead", "lbockhead", "lockhead", "xblockhead", "clockhead"))
+    assert toxicity.ToxicityModel(model.terms, -3.0, frozenset({"clockhead"})).score("a clockhead") < 0.5
+
+
 def test_tokens(spark, docs, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
