@@ -172,31 +172,37 @@ _SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)})[\s,-]+)?{_ONE}(?:[
 _TOKEN = re.compile(rf"({'|'.join(PLUS_WORDS)})(?!\w)|({_WORDS})(?!\w)|([0-9])", re.I)
 _MIXED = re.compile(r"[0-9OoIl]{2,}")
 _HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT}|[@.a]|d0t)\s*{_CLOSE}|[_*-](?:{_AT}|{_DOT})[_*-]|\s(?:{_DOT})\s", re.I)
-_HINT_AT = re.compile(rf"[0-9_.]\S*\s+(?:{_AT})\s+\S+\.[A-Za-z]", re.I)
+_HINT_SPACED_AT = re.compile(r"\s@|@\s")
 _HINT_MIXED = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 _INNER_DOT = re.compile(r"\.[A-Za-z]")
-_HINT_DIGITS = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,./-]+(?:{_WORDS}|[0-9])[\s,./-]+(?:{_WORDS}|[0-9])(?!\w)", re.I)
-_DIGIT_WORDS = frozenset(DIGIT_WORDS)
+#: Digits that are spelled have a word beside another or beside a digit.
+_HINT_DIGITS = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,./()-]+(?:(?:{_WORDS})(?!\w)|[0-9])|[0-9][\s,./()-]+(?:{_WORDS})(?!\w)", re.I)
+_SPELLING = frozenset((*DIGIT_WORDS, *REPEATS))
+_WORD = re.compile(r"\w+")
+#: Letters that match i and s where case is ignored, but aren't them in lower case.
+_CASELESS = str.maketrans({"İ": "i", "ſ": "s"})
 #: A run of spelled digits has so many different ones, or it is a word repeated.
 DISTINCT_DIGITS = 3
 
 
 def _disguised(text: str, digit: bool) -> bool:
-    """Whether a transducer may find something; plain substring tests come first."""
+    """Whether a transducer may find something; plain substring tests come first.
+
+    Each test holds for all that its transducer rewrites.
+    """
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
-    if any(c in text for c in "[({<|_*") or any(w in low for w in DOT_WORDS) or any(f"-{w}-" in low for w in AT_WORDS):
+    low = text.translate(_CASELESS).lower()
+    if any(c in text for c in "[({<|_*-") or any(w in low for w in DOT_WORDS):
         if _HINT.search(text):
             return True
-    if "@" in text and (" @" in text or "@ " in text or _SPACED_DOT.search(text)):
+    if "@" in text and (_HINT_SPACED_AT.search(text) or _SPACED_DOT.search(text)):
         return True
     if digit and _HINT_MIXED.search(text):
         return True
-    if any(f" {w} " in low for w in AT_WORDS) and _INNER_DOT.search(text) and _HINT_AT.search(text):
+    if any(w in low for w in AT_WORDS) and _INNER_DOT.search(text) and _WORD_AT_PLAIN.search(text):
         return True
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").replace("/", " ").replace("(", " ").replace(")", " ").split()
-    return len(_DIGIT_WORDS.intersection(words)) >= (1 if digit else DISTINCT_DIGITS) and bool(_HINT_DIGITS.search(text))
+    return not _SPELLING.isdisjoint(_WORD.findall(low)) and bool(_HINT_DIGITS.search(text))
 
 
 def _fold(m: re.Match) -> str:
@@ -214,7 +220,8 @@ def _fold(m: re.Match) -> str:
 
 def _spelled(m: re.Match) -> str | None:
     found = list(_TOKEN.finditer(m[0]))
-    digits = {t[3] or DIGIT_WORDS.get(t[2].lower()) for t in found if t[2] or t[3]} - {None}
+    named = lambda t: t[2].translate(_CASELESS).lower()
+    digits = {t[3] or DIGIT_WORDS.get(named(t)) for t in found if t[2] or t[3]} - {None}
     if len(digits) < DISTINCT_DIGITS or sum(1 for t in found if t[2]) < 2:
         return None
     out, times, plus, last = [], 1, "", 0
@@ -224,10 +231,10 @@ def _spelled(m: re.Match) -> str | None:
         last = t.end()
         if t[1]:
             plus = "+"
-        elif t[2] and t[2].lower() in REPEATS:
-            times = REPEATS[t[2].lower()]
+        elif t[2] and named(t) in REPEATS:
+            times = REPEATS[named(t)]
         else:
-            out.append((DIGIT_WORDS[t[2].lower()] if t[2] else t[3]) * times)
+            out.append((DIGIT_WORDS[named(t)] if t[2] else t[3]) * times)
             times = 1
     return plus + "".join(out)
 

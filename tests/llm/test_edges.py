@@ -372,6 +372,39 @@ def test_disguises(text, found):
     assert [(k, text[a:b]) for k, a, b in pii.find_spans(text)[1]] == found
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "call +1 555 one two 34567 now",
+        '"double five six seven one two three four nine": x',
+        "joe.b at\texample.com",
+        "joe.b\nat example.com",
+        "joe\t@\texample.com",
+        "joe@\nexample.com",
+        "joe-AT-example-dot-com",
+        "call +1 555-one (two) 34567",
+        "plus one ſix two three ſeven eight nine one two",
+    ],
+)
+def test_hidden_from_the_hints(text, monkeypatch):
+    gated = pii.find_spans(text)
+    assert gated[1]
+    monkeypatch.setattr(pii, "_disguised", lambda *_: True)
+    assert gated == pii.find_spans(text)
+
+
+def test_hints_hide_nothing(monkeypatch):
+    import random
+
+    random.seed(8)
+    tokens = ["joe.b", "mary7", "x_y", "example", "com", "at", "AT", "arroba", "@", ".", "dot", "punkt", "(a)", "[at]", "{dot}", "_at_", "-at-", "example.com", "a.b.org", "+1", "plus", "555", "34567", "O1l0", "one", "two", "Three", "double", "fünf", "sİx", "ſeven", "zéro", "4111", "1111", "192", "168", "the", "call", ":", '"']
+    gaps = [" ", " ", " ", "", "\t", "\n", "  ", ",", "-", ".", "/", "(", ")", "\u00a0", "_"]
+    texts = ["".join(random.choice(tokens) + random.choice(gaps) for _ in range(random.randint(1, 14))) for _ in range(20_000)]
+    gated = [pii.find_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_disguised", lambda *_: True)
+    assert [t for t, g in zip(texts, gated, strict=True) if g != pii.find_spans(t)] == []
+
+
 def test_redact():
     _, spans = pii.find_spans("a@b.co or 1.2.3.4")
     assert pii.redact("a@b.co or 1.2.3.4", spans) == "<email> or <ip>"
