@@ -18,12 +18,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder takes its place.
+    Only on one machine, where ``spark.checkpoint.dir`` is unset, a temporary
+    folder takes its place; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathframe-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 

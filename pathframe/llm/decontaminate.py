@@ -33,6 +33,20 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _HITS = "array<struct<start:bigint,length:bigint,items:string>>"
 _END, _TAB = "\n", "\t"  # neither can be in a word
+#: Signs of item ids that part ids, windows and buckets, and what they are written as; the escape first.
+_SIGNS = {"%": "%25", ",": "%2C", _TAB: "%09", _END: "%0A", "\r": "%0D"}
+
+
+def _escaped(item: Column) -> Column:
+    for sign, code in _SIGNS.items():
+        item = F.replace(item, F.lit(sign), F.lit(code))
+    return item
+
+
+def _unescaped(item: Column) -> Column:
+    for sign, code in reversed(_SIGNS.items()):
+        item = F.replace(item, F.lit(code), F.lit(sign))
+    return item
 
 
 def words_of(text: Column) -> Column:
@@ -53,7 +67,7 @@ def _hash(gram: Column, salt: int) -> Column:
 
 def item_windows(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
     """Distinct ``(length, gram, item)``: gram is the window's words."""
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(F.col(text)).alias("w"))
+    items = benchmark.select(_escaped(F.coalesce(F.col(item).cast("string"), F.lit(""))).alias("item"), words_of(F.col(text)).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)
     grams = items.select("item", "length", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("length")))).alias("gram"))
@@ -72,7 +86,7 @@ def scan(
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``hit_spans`` (word ranges, 1-based, end inclusive)."""
     grams = item_windows(benchmark, window, item, item_text)
     grams = cut(grams.groupBy("length", "gram").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items")))
-    stats = grams.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("gram", " ")) + F.length("items") + 2).alias("bytes")).first()
+    stats = grams.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("gram", " ")) + F.octet_length("items") + 2).alias("bytes")).first()
     docs = docs.drop("n_words", "n_hit", "items", "hit_spans", "_pf_found", "_pf_words")
     if (stats.bytes or 0) + 16 * stats.n > max_carried_bytes:
         return _measured(_by_join(docs, grams, text))
@@ -170,7 +184,7 @@ def _measured(found: DataFrame) -> DataFrame:
             ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("first"), s["last"].alias("last"))))),
         ),
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.split(x["items"], ",")))))
+    items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(hits, lambda x: F.split(x["items"], ","))), _unescaped)))
     return (
         found.withColumn("hit_spans", spans)
         .withColumn("n_words", F.col("_pf_found.n"))
@@ -185,6 +199,13 @@ def remove_documents(scanned: DataFrame, max_hit_words: int = 0) -> DataFrame:
     return scanned.where(F.col("n_hit") <= max_hit_words).drop("n_words", "n_hit", "items", "hit_spans")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, max_hit_words: int = 0, text: str = "text", **options) -> DataFrame:
+    """The documents with at most so many hit words, all their columns kept, those named like results too."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    kept = scan(rows, benchmark, text="text", **options).where(F.col("n_hit") <= max_hit_words)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
     """The documents of :func:`scan` with hit words cut from ``text``; what stands between words stays."""
     value = F.coalesce(F.col(text), F.lit(""))

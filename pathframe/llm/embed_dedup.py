@@ -10,7 +10,7 @@ Classes go to the cell of their nearest pivot.  A class must also meet a
 cell's members if its angle to the pivot is at most the cell's radius plus the
 threshold's angle, else no member can be near enough: it is sent there as a
 guest, from later to earlier cells only, so each pair is compared once.  Cells
-are dealt in tiles of ``TILE_ROWS``; a group returns link counts and edges to
+are dealt in tiles of ``TILE_VALUES`` numbers; a group returns link counts and edges to
 a smallest member, never pairs.
 
 Pivots are a sample of classes, at most ``max_pivots``: they steer the work,
@@ -32,13 +32,20 @@ from pyspark.sql import functions as F
 from pathframe.llm.common import connected_components, cut
 from pathframe.llm.tiles import each_group, merge
 
-TILE_ROWS = 4096
+#: Numbers in a tile, and rows of it at least and at most: a class is sent once for each tile of its cell, so tiles are as large as a task can hold.
+TILE_VALUES, TILE_ROWS = 1 << 20, (1024, 1 << 16)
+#: Cells up to which their sizes are broadcast, at 24 bytes each.
+MAX_BROADCAST_CELLS = 100_000
 #: Products of so many int8 pairs add up exactly in float32.
 EXACT_DIMS = 1024
 #: Room for rounding in float64 sums and angles.
 SLACK = 1e-6
 
 
+def _tile_rows(dim: int) -> int:
+    return int(min(max(TILE_VALUES / dim, TILE_ROWS[0]), TILE_ROWS[1]))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -169,7 +176,7 @@ def near_vectors(
         .withColumn("spread", F.xxhash64("k1"))
     )
     n = classes.count()
-    wanted = min(max_pivots, math.ceil(n / TILE_ROWS))
+    wanted = min(max_pivots, math.ceil(n / _tile_rows(classes.agg(F.max("dim")).first()[0] or 1)))
     pivots: dict[int, list] = {}
     for r in classes.orderBy(F.xxhash64("k2"), "k1").limit(wanted).collect() if wanted > 1 else []:
         x = np.array(r.v, np.float64)
@@ -185,8 +192,9 @@ def near_vectors(
     } if units else {}
     members = cut(placed.mapInArrow(_place(units, radii, angle), schema).drop("angle"))
     sizes = members.groupBy("dim", "cell").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_guest"))
-    tiles = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
-    at = members.join(F.broadcast(sizes.withColumn("tc", tiles("n_core")).withColumn("tg", tiles("n_guest"))), ["dim", "cell"])
+    tiles = lambda c: F.ceil(F.col(c) / F.least(F.greatest(F.lit(TILE_VALUES) / F.col("dim"), F.lit(TILE_ROWS[0])), F.lit(TILE_ROWS[1]))).cast("int")
+    sizes = cut(sizes.withColumn("tc", tiles("n_core")).withColumn("tg", tiles("n_guest")))
+    at = members.join(F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_CELLS else sizes, ["dim", "cell"])
     at = at.withColumn("t", F.pmod("spread", F.when(F.col("core"), F.col("tc")).otherwise(F.col("tg"))).cast("int"))
     zero, none = F.lit(0), F.array().cast("array<int>")
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(none)

@@ -96,7 +96,8 @@ def mix_sources(
         F.col(id).alias("id"),
         F.col(source).cast("string").alias("source"),
         words_of(F.col(text)).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1 << 48)).alias("h"),
+        # With the text: rows that share an id, or have none, are apart.
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), F.lit(1 << 48)).alias("h"),
         F.xxhash64(F.col(text)).alias("tie"),
     ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     rows = cut(wide.drop("row"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -279,6 +280,30 @@ def _near_misses(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.start() + g.end()
 
 
+class _Apart:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def _met(self, a: int, b: int) -> tuple[int, int]:
+        return bisect_right(self.ends, a), bisect_left(self.starts, b)
+
+    def meets(self, a: int, b: int) -> bool:
+        first, stop = self._met(a, b)
+        return first < stop
+
+    def inside(self, a: int, b: int) -> bool:
+        """Whether all that overlap lie within."""
+        first, stop = self._met(a, b)
+        return first >= stop or (a <= self.starts[first] and self.ends[stop - 1] <= b)
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and all spans, by kind as listed, then start."""
     plain = plain_spans(text)
@@ -293,12 +318,13 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
             a, b = m.source(*x.span())
             if sum(c.isalpha() for c in text[a:b]) > 20:
                 more.append(("phone", a, b))
-    kept = list(plain)
+    kept, at = list(plain), {k: _Apart([s[1:] for s in plain if s[0] == k]) for k in KINDS}
+    added = {k: _Apart([]) for k in KINDS}
+    # The longest first: one that is added later can't hold one that was added before, so those are apart too.
     for k, a, b in sorted(set(more) - set(plain), key=lambda s: (s[1] - s[2], s[1])):
         # What lies in a span of its kind is said; a card in a longer phone is two things.
-        if not any(k == q and c < b and a < d for q, c, d in kept):
-            kept.append((k, a, b))
-        elif all(a <= c and d <= b for q, c, d in kept if k == q and c < b and a < d):
+        if not added[k].meets(a, b) and at[k].inside(a, b):
+            added[k].add(a, b)
             kept.append((k, a, b))
     kept = sorted(set(kept), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return plain, kept

@@ -16,8 +16,8 @@ Cells of any size are dealt in bounded groups (:mod:`pathframe.llm.tiles`),
 and a group returns a spanning forest of its links, not all pairs.
 
 Null or empty text has no shingles: fingerprint zero, linked like any other.
-Rows with a null id get a fingerprint and the component of their class, which
-is null if all ids of it are.  Repeated rows are in one class.  An empty table
+Rows with a null id get a fingerprint, connect like any other, and have the
+component of their class, which is null if all ids of it are.  Repeated rows are in one class.  An empty table
 gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathframe.llm.common import LOWER, UPPER, connected_components, cut, tidy
@@ -204,17 +204,19 @@ def near_links(nodes: DataFrame, count: int, max_bits: int) -> DataFrame:
     for i, choice in enumerate(choices):
         parts = [F.shiftrightunsigned("f", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in choice]
         cells.append(F.xxhash64(F.lit(i), *parts))
-    members = nodes.where("rep is not null").select("f", "rep", F.explode(F.array(*cells)).alias("cell"), F.xxhash64("f").alias("spread"))
+    members = nodes.select("f", "rep", F.explode(F.array(*cells)).alias("cell"), F.xxhash64("f").alias("spread"))
     dealt = deal(members, "cell", "spread", TILE_ROWS).select("g", "f", "rep")
     return each_group(dealt, _links(max_bits), "a bigint, b bigint")
 
 
 def near_classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``(f, component)`` for ``prints(doc_id, f)``: the smallest id reachable from the class."""
-    classes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(near_links(classes, classes.count(), max_bits))
-    joined = classes.join(found, classes.rep == found.node, "left")
-    return joined.select("f", F.coalesce("component", "rep").alias("component"))
+    """``(f, component)`` for ``prints(doc_id, f)``: the smallest id of all classes reachable, null without one."""
+    classes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("low")))
+    found = connected_components(near_links(classes.select("f", F.col("f").alias("rep")), classes.count(), max_bits))
+    # Stored, so that the join deals both sides anew and can split a large component.
+    joined = cut(classes.join(found, classes.f == found.node, "left").select("f", "low", F.coalesce("component", "f").alias("c")))
+    lows = cut(joined.groupBy("c").agg(F.min("low").alias("component"), F.count("*").alias("n")).where("n > 1").select("c", "component"))
+    return joined.join(lows, "c", "left").select("f", F.coalesce("component", "low").alias("component"))
 
 
 def near_duplicates(
@@ -228,6 +230,11 @@ def near_duplicates(
     )
 
 
+def text_key(text: Column) -> Column:
+    """Equal texts have one key."""
+    return F.xxhash64(text)
+
+
 def _prints(keyed: DataFrame, id: str, text: str, words: int) -> DataFrame:
     """``(id, h, f, bands)`` from the word shingles of lower-cased texts; ``h`` is ``_pf_text``."""
 
@@ -356,10 +363,19 @@ def drop_near_copies(
     and in it all are compared: only texts whose sets of word shingles have a
     Jaccard similarity of at least ``similarity`` are joined.  Groups are what
     such pairs and equal texts connect; the document with the smallest id
-    stays.  Equal rows are one document; rows with a null id come after all
-    others of their group.
+    stays.  Rows with one id and equal texts are one document, whatever else
+    they hold; rows with a null id come after all others of their group.  Null
+    and empty texts have no shingles in common with any text: of each kind one
+    stays.
     """
-    keyed = docs.withColumn("_pf_text", F.xxhash64(F.col(text)))
+    keyed = docs.withColumn("_pf_text", text_key(F.col(text))).withColumn("_pf_check", F.xxhash64(F.lit(1), F.col(text)))
+    # Different texts of one key, of which there may be a few in 10^10, get a key from both hashes.
+    sums = keyed.groupBy(F.col("_pf_text").alias("_pf_key")).agg(F.min("_pf_check").alias("low"), F.max("_pf_check").alias("high"))
+    clashes = cut(sums.where("low <> high").select("_pf_key", "low"))
+    if not clashes.isEmpty():
+        again = F.when(F.col("_pf_check") != F.col("low"), F.xxhash64("_pf_text", "_pf_check")).otherwise(F.col("_pf_text"))
+        keyed = keyed.join(clashes, F.col("_pf_text") == F.col("_pf_key"), "left").withColumn("_pf_text", again).drop("_pf_key", "low")
+    keyed = keyed.drop("_pf_check")
     prints = cut(_prints(keyed, id, text, words))
     nodes = cut(prints.groupBy("h").agg(F.first("f").alias("f"), F.first("bands").alias("bands")))
     links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits).unionByName(band_links(nodes))

@@ -1,8 +1,9 @@
 """Toxicity: a learned lexicon found through a Levenshtein automaton, scored in context.
 
 Lexicon.  Words and word beginnings, once or repeated, are counted over
-labelled documents, each different text once; greedy choice by likelihood
-ratio keeps few terms that together explain label 1.  A term is a word, or a
+labelled documents, each different text once; all whose likelihood ratio is
+more than chance are candidates, and greedy choice keeps few terms that
+together explain label 1.  What training holds is bounded by its rows alone.  A term is a word, or a
 beginning that stands for any word with it, and has a weight for one hit in a
 document and another for more.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,8 +44,8 @@ from pathframe.llm.common import cut, tidy
 
 #: Labelled rows that training takes at most, the first by a hash of their id.
 MAX_TRAINING_ROWS = 20_000
-#: Candidates for the lexicon, the best by likelihood ratio.
-MAX_CANDIDATES = 4_000
+#: Different features that a training task counts before it sends them on.
+HELD_FEATURES = 300_000
 #: Labels up to which they are sent to every task for the join, at 20 bytes each.
 MAX_BROADCAST_LABELS = 1_000_000
 #: Lengths of word beginnings.
@@ -55,7 +57,9 @@ WINDOW, QUOTED = 12, 0.3
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "€": "e", "£": "l"}
 # Words that report what someone else said.
 REPORTING = frozenset("said says say called calls call wrote writes quoted quote word term slur insult insulted dit dijo sagte sagt mot palabra wort".split())
-_QUOTES = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“\n]{1,200}“|‘[^’\n]{1,200}’")
+# An opening mark ends the search of one before it, so that a text is passed once.
+_QUOTES = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“\n]+“|‘[^‘’\n]+’")
+_SPOKEN = re.compile(r"\S+")
 _STRIP = ".,;:?()[]{}<>\"“”«»„‘’'`~#%&^/\\=_-…¡¿"
 _RUN = re.compile(r"(.)\1{2,}")
 _INNER = re.compile(r"(?<=\w)[.\-_'’·~]+(?=\w)")
@@ -211,10 +215,9 @@ class ToxicityModel:
             return []
         quoted: set[int] = set()
         if any(q in text for q in "\"“«„‘"):
+            begins = [m.start() for m in _SPOKEN.finditer(text)]
             for m in _QUOTES.finditer(text):
-                first = len(text[: m.start()].split())
-                first -= bool(m.start() and not text[m.start() - 1].isspace())
-                quoted.update(range(first, first + len(m[0].split())))
+                quoted.update(range(bisect_right(begins, m.start()) - 1, bisect_right(begins, m.end() - 1)))
         out = []
         times = Counter(k for _, (k, _) in found)
         for i, (k, cost) in found:
@@ -230,15 +233,15 @@ class ToxicityModel:
         for last in range(len(hits)):
             while hits[last][0] - hits[first][0] > WINDOW:
                 first += 1
-            near = sorted((w for _, _, w in hits[first : last + 1][-8:]), reverse=True)
+            near = sorted((w for _, _, w in hits[first : last + 1]), reverse=True)
             best = max(best, near[0] + 0.25 * sum(near[1:]))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.base + best))))
 
 
 class _Words(dict):
-    """What a word matches; filled as words come, emptied when large."""
+    """What a word matches; filled as words come, emptied when large.  Longer words are matched each time."""
 
-    LIMIT = 150_000
+    LIMIT, KEPT_LETTERS = 150_000, 64
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
@@ -257,12 +260,13 @@ class _Words(dict):
         elif (tail, False) in self.exact:
             found = self.exact[tail, False], 0
         else:
-            forms = dict.fromkeys(x for x in (core, tail, _INNER.sub("", core), _RUN.sub(r"\1", core), _RUN.sub(r"\1\1", core)) if 2 < len(x) <= 64)
+            forms = dict.fromkeys(x for x in (core, tail, _INNER.sub("", core), _RUN.sub(r"\1", core), _RUN.sub(r"\1\1", core)) if len(x) > 2)
             for x in forms:
                 m = self.matcher.match(x)
                 if m is not None and (found is None or m[1] < found[1]):
                     found = m
-        self[word] = found
+        if len(word) <= self.KEPT_LETTERS:
+            self[word] = found
         return found
 
 
@@ -272,8 +276,8 @@ def _words(text: str) -> Counter:
 
 def _features(words: Counter) -> set[tuple[str, bool, bool]]:
     """``(word or beginning, whether it is a beginning, whether it comes more than once)``."""
-    out = {(w, False, False) for w in words if w.isalpha() and 3 <= len(w) <= 32}
-    out |= {(w, False, True) for w, n in words.items() if n > 1 and w.isalpha() and 3 <= len(w) <= 32}
+    out = {(w, False, False) for w in words if w.isalpha() and len(w) >= 3}
+    out |= {(w, False, True) for w, n in words.items() if n > 1 and w.isalpha() and len(w) >= 3}
     stems: Counter = Counter()
     for w, times in words.items():
         for n in STEMS:
@@ -283,16 +287,6 @@ def _features(words: Counter) -> set[tuple[str, bool, bool]]:
     return out | {(w, True, True) for w, n in stems.items() if n > 1}
 
 
-def _gain(t: float, n: float, pos: float, neg: float) -> float:
-    """Twice the log likelihood ratio of label 1 among ``n`` documents, ``t`` of them 1, against the rate of the rest."""
-    total = pos + neg
-
-    def part(a: float, b: float) -> float:
-        return a * math.log(a / b) if a > 0 else 0.0
-
-    return 2 * (part(t, n * pos / total) + part(n - t, n * neg / total))
-
-
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -325,90 +319,117 @@ def fit(
                 seen.update(found)
                 if y:
                     ones.update(found)
-        rows = list(ones.items())
-        yield pa.record_batch(
-            [
-                pa.array([k[0] for k, _ in rows], pa.string()),
-                pa.array([k[1] for k, _ in rows], pa.bool_()),
-                pa.array([k[2] for k, _ in rows], pa.bool_()),
-                pa.array([v for _, v in rows], pa.int64()),
-            ],
-            names=["word", "stem", "more", "t"],
-        )
+                if len(seen) > HELD_FEATURES:
+                    yield _counts(seen, ones)
+                    seen.clear()
+                    ones.clear()
+        yield _counts(seen, ones)
 
     ys = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = ys.get(1, 0), ys.get(0, 0)
     if not pos or not neg:
         return ToxicityModel([], 0.0 if not pos + neg else math.log((pos + 0.5) / (neg + 0.5)))
-    ones = sample.mapInArrow(counted, "word string, stem boolean, more boolean, t bigint").groupBy("word", "stem", "more").agg(F.sum("t").alias("t")).where("t >= 3")
-    likely = [(r.word, r.stem, r.more) for r in ones.orderBy(F.desc("t"), F.desc(F.length("word")), "word", "stem", "more").limit(20 * MAX_CANDIDATES).collect()]
-    wanted = {k: i for i, k in enumerate(likely)}
+    features = sample.mapInArrow(counted, "word string, stem boolean, more boolean, n bigint, t bigint").groupBy("word", "stem", "more")
+    telling = cut(features.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("t >= 3 and 2 * t > n"))
+    # So many were tried that the best of them would gain this by chance.
+    least = 2 * math.log(max(20, telling.count()))
+    rate = pos / (pos + neg)
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(F.lit(0.0))
+    gain = 2 * (part(F.col("t"), F.col("n") * rate) + part(F.col("n") - F.col("t"), F.col("n") * (1 - rate)))
+    # As many as the training rows' words give, each found in three documents of label 1 at least.
+    names = sorted((r.word, r.stem, r.more) for r in telling.where(gain >= least - 1e-6).select("word", "stem", "more").collect())
+    wanted = {k: i for i, k in enumerate(names)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted(wanted[f] for f in _features(_words(v.as_py() or "")) if f in wanted) for v in b.column(0)]
             yield pa.record_batch([b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
 
-    having = sample.mapInArrow(present, "y int, f array<int>")
-    total = having.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("t")).where("2 * t > n")
-    ranked = sorted(((_gain(r.t, r.n, pos, neg), r.f) for r in total.collect()), reverse=True)
-    # So many were tried that the best of them would gain this by chance.
-    least = 2 * math.log(max(20, len(ranked)))
-    candidates = {f for g, f in ranked[:MAX_CANDIDATES] if g >= least}
-    kept = F.array_intersect("f", F.lit(sorted(candidates) or [-1]).cast("array<int>"))
-    rows = [(r.y, r.k) for r in having.select("y", kept.alias("k")).where(F.size("k") > 0).collect()]
-    chosen, open_ones, open_all = _choose(rows, likely, pos, neg, least)
+    rows = [(r.y, r.f) for r in sample.mapInArrow(present, "y int, f array<int>").where(F.size("f") > 0).collect()] if names else []
+    table = _Postings(rows, names, pos, neg)
+    chosen, open_ones, open_all = _choose(table, least)
     base = math.log((open_ones + 0.5) / (open_all - open_ones + 0.5))
     weights: dict[tuple[str, bool], dict[bool, float]] = {}
     for (w, stem, more), (t, n) in chosen.items():
         weights.setdefault((w, stem), {})[more] = math.log((t + 0.5) / (n - t + 0.5)) - base
-    for (w, stem, more), (t, n) in _companions(rows, likely, chosen, pos, neg, least).items():
+    for (w, stem, more), (t, n) in _companions(table, chosen, least).items():
         weights.setdefault((w, stem), {}).setdefault(more, math.log((t + 0.5) / (n - t + 0.5)) - base)
     terms = [Term(w, s, v.get(False, 0.0), max(v.values())) for (w, s), v in weights.items()]
     model = ToxicityModel(terms, base)
     return ToxicityModel(terms, base, _innocent(sample, model))
 
 
-def _choose(
-    rows: list[tuple[int, list[int]]], names: list[tuple[str, bool, bool]], pos: int, neg: int, least: float
-) -> tuple[dict[tuple[str, bool, bool], tuple[int, int]], int, int]:
+def _counts(seen: Counter, ones: Counter) -> pa.RecordBatch:
+    keys = list(seen)
+    kinds = (pa.string(), pa.bool_(), pa.bool_())
+    columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+    return pa.record_batch([*columns, pa.array([seen[k] for k in keys], pa.int64()), pa.array([ones[k] for k in keys], pa.int64())], names=["word", "stem", "more", "n", "t"])
+
+
+class _Postings:
+    """Which document has which feature, both ways, in flat arrays."""
+
+    def __init__(self, rows: list[tuple[int, list[int]]], names: list[tuple[str, bool, bool]], pos: int, neg: int):
+        self.names, self.pos, self.neg = names, pos, neg
+        self.y = np.array([y for y, _ in rows], np.int64)
+        widths = np.array([len(f) for _, f in rows], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(widths)])
+        self.features = np.fromiter((f for _, fs in rows for f in fs), np.int32, int(self.at[-1]))
+        docs = np.repeat(np.arange(len(rows), dtype=np.int32), widths)
+        order = np.argsort(self.features, kind="stable")
+        self.docs = docs[order]
+        self.starts = np.searchsorted(self.features[order], np.arange(len(names) + 1))
+        self.n = np.diff(self.starts)
+        self.t = np.bincount(self.features, np.repeat(self.y, widths), len(names)).astype(np.int64)
+
+    def of(self, feature: int) -> np.ndarray:
+        """The documents that have it."""
+        return self.docs[self.starts[feature] : self.starts[feature + 1]]
+
+    def within(self, docs: np.ndarray) -> np.ndarray:
+        """Positions of the features of ``docs``, document by document."""
+        widths = self.at[docs + 1] - self.at[docs]
+        return np.repeat(self.at[docs] - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
+
+    def gains(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Twice the log likelihood ratio of label 1 among ``n`` documents, ``t`` of them 1, against the rate of all; to six digits."""
+        rate = self.pos / (self.pos + self.neg)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            parts = [np.where(a > 0, a * np.log(a / (n * p)), 0.0) for a, p in ((t, rate), (n - t, 1 - rate))]
+        return np.round(2 * (parts[0] + parts[1]), 6)
+
+
+def _choose(table: _Postings, least: float) -> tuple[dict[tuple[str, bool, bool], tuple[int, int]], int, int]:
     """Greedy cover: the feature with the largest gain over the documents that no chosen one is in.
 
     With each its documents then, of label 1 and all; and those that are left.
     """
-    has: dict[int, set[int]] = {}
-    for d, (_, k) in enumerate(rows):
-        for f in k:
-            has.setdefault(f, set()).add(d)
-    counts = {f: [sum(rows[d][0] for d in ds), len(ds)] for f, ds in has.items()}
+    names, t, n = table.names, table.t.copy(), table.n.copy()
+    left = np.ones(len(table.y), bool)
     chosen: dict[tuple[str, bool, bool], tuple[int, int]] = {}
-    ones, every = pos, pos + neg
-    while counts:
-        # Of equal gains the longest, and a whole word before a beginning.
-        gain, _, _, _, f = max(
-            (round(_gain(t, n, pos, neg), 6) if 2 * t > n else 0.0, len(names[f][0]), not names[f][1], not names[f][2], f) for f, (t, n) in counts.items()
-        )
-        if gain < least:
+    ones, every = table.pos, table.pos + table.neg
+    while len(n):
+        gains = np.where(2 * t > n, table.gains(t, n), 0.0)
+        best = gains.max()
+        if best < least:
             break
-        chosen[names[f]] = (counts[f][0], counts[f][1])
-        for d in list(has[f]):
-            ones, every = ones - rows[d][0], every - 1
-            for g in rows[d][1]:
-                if g in has:
-                    has[g].discard(d)
-                    counts[g][0] -= rows[d][0]
-                    counts[g][1] -= 1
-        counts = {g: c for g, c in counts.items() if c[0] > 0}
-        has = {g: has[g] for g in counts}
+        # Of equal gains the longest, and a whole word before a beginning.
+        f = max(np.flatnonzero(gains == best).tolist(), key=lambda f: (len(names[f][0]), not names[f][1], not names[f][2], f))
+        chosen[names[f]] = (int(t[f]), int(n[f]))
+        docs = table.of(f)
+        docs = docs[left[docs]]
+        left[docs] = False
+        ones, every = ones - int(table.y[docs].sum()), every - len(docs)
+        at = table.within(docs)
+        of_doc = np.repeat(table.y[docs], table.at[docs + 1] - table.at[docs])
+        n -= np.bincount(table.features[at], minlength=len(n))
+        t -= np.bincount(table.features[at], of_doc, len(n)).astype(np.int64)
     return chosen, ones, every
 
 
 def _companions(
-    rows: list[tuple[int, list[int]]],
-    names: list[tuple[str, bool, bool]],
+    table: _Postings,
     chosen: dict[tuple[str, bool, bool], tuple[int, int]],
-    pos: int,
-    neg: int,
     least: float,
     precision: float = 0.8,
     common: float = 0.3,
@@ -420,42 +441,34 @@ def _companions(
     documents are nearly those of three other words come from copies of one
     text, and are left out.
     """
-    counts: dict[int, list[int]] = {}
-    for y, k in rows:
-        for f in k:
-            c = counts.setdefault(f, [0, 0])
-            c[0] += y
-            c[1] += 1
-    named = {names[f]: c for f, c in counts.items()}
+    names, t, n = table.names, table.t, table.n
+    gains = table.gains(t, n)
+    number = {name: f for f, name in enumerate(names)}
     typical = {}
     for stem in (False, True):
-        of = sorted(named[c][0] for c in chosen if c[1] == stem)
-        typical[stem] = of[len(of) // 2] if of else pos
-    order = sorted(counts, key=lambda f: (-round(_gain(*counts[f], pos, neg), 6), names[f][1], names[f][2], -len(names[f][0]), names[f][0]))
-    good = [
-        f for f in order if _gain(*counts[f], pos, neg) >= least and (counts[f][0] + 0.5) / (counts[f][1] + 1) >= precision and counts[f][0] >= common * typical[names[f][1]]
-    ]
-    words = [f for f in good if not names[f][1]]
-    at = {f: i for i, f in enumerate(words)}
-    has = np.zeros((len(words), len(rows)), np.float32)
-    for d, (_, k) in enumerate(rows):
-        has[[at[f] for f in k if f in at], d] = 1
-    every = has.sum(axis=1)
-    both = has @ has.T
-    twin = both / np.maximum(1, every[:, None] + every - both) >= alike
-    apart = np.array([[names[f][0] != names[g][0] for g in words] for f in words]).reshape(len(words), len(words))
-    twins = (twin & apart).sum(axis=1)
+        of = sorted(int(t[number[c]]) for c in chosen if c[1] == stem)
+        typical[stem] = of[len(of) // 2] if of else table.pos
+    order = sorted(range(len(names)), key=lambda f: (-gains[f], names[f][1], names[f][2], -len(names[f][0]), names[f][0]))
+    good = [f for f in order if gains[f] >= least and (t[f] + 0.5) / (n[f] + 1) >= precision and t[f] >= common * typical[names[f][1]]]
+    words = np.zeros(len(names), bool)
+    words[[f for f in good if not names[f][1]]] = True
+
+    def twins(f: int) -> int:
+        both = np.bincount(table.features[table.within(table.of(f))], minlength=len(names))
+        near = np.flatnonzero(words & (both > 0) & (both >= alike * np.maximum(1, n[f] + n - both)))
+        return sum(names[g][0] != names[f][0] for g in near.tolist())
+
     kept = {(w, stem) for w, stem, _ in chosen}
     out: dict[tuple[str, bool, bool], tuple[int, int]] = {}
     for f in good:
         w, stem, more = names[f]
-        if not stem and twins[at[f]] >= 3:
-            continue
         # A beginning of, or with, one that is kept says the same.
         if (w, stem) not in kept and any((s and w.startswith(v)) or (stem and v.startswith(w)) for v, s in kept):
             continue
+        if not stem and twins(f) >= 3:
+            continue
         kept.add((w, stem))
-        out[w, stem, more] = (counts[f][0], counts[f][1])
+        out[w, stem, more] = (int(t[f]), int(n[f]))
     return out
 
 
@@ -470,7 +483,7 @@ def _innocent(sample: DataFrame, model: ToxicityModel) -> frozenset[str]:
             words = {w for v in b.column(0) for w in _words(v.as_py() or "") if (m := lookup[w]) is not None and m[1]}
             yield pa.record_batch([pa.array(sorted(words), pa.string())], names=["word"])
 
-    found = sample.where("y = 0").select("text").mapInArrow(near, "word string").distinct().orderBy("word").limit(100_000)
+    found = sample.where("y = 0").select("text").mapInArrow(near, "word string").distinct()
     return frozenset(r.word for r in found.collect())
 
 

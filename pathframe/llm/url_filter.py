@@ -18,6 +18,7 @@ Empty tables give empty results; repeated rows are judged each on its own.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -160,7 +161,9 @@ def judge_urls(
         .select(url_host(F.col("u")).alias("h"), url_path(F.col("u")).alias("p"))
         .select(F.explode(_keys(F.col("h"), F.col("p"), shapes)).alias("key"))
     )
-    listed = spark.createDataFrame([(k, a) for k, a in actions.items()], "key string, action string")
+    # One constant: rows from Python would start workers.
+    text = json.dumps([{"key": k, "action": a} for k, a in actions.items()])
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<key:string,action:string>>")))
     longest = lambda fits: F.element_at(
         F.array_sort(fits, lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).otherwise(0)), 1
     )
