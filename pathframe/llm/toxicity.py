@@ -45,7 +45,7 @@ from pathframe.llm.common import cut, tidy
 #: Labelled rows that training takes at most, the first by a hash of their id.
 MAX_TRAINING_ROWS = 20_000
 #: Different features that a training task counts before it sends them on.
-HELD_FEATURES = 300_000
+HELD_FEATURES = 60_000
 #: Labels up to which they are sent to every task for the join, at 20 bytes each.
 MAX_BROADCAST_LABELS = 1_000_000
 #: Lengths of word beginnings.
