@@ -48,11 +48,13 @@ def evaluate_json_column(expression: Expression, df: DataFrame, column: str, out
     return df.withColumn(output, document_column(expression, F.col(f"`{column}`")))
 
 
-def node_column(node: Node, names: dict[str, Any], json_text: Column) -> Column:
-    """A sub-expression over each item as JSON, with the scalars in scope as variables: JSON text."""
+def node_column(node: Node, names: dict[str, Any], json_text: Column, beside: Column | None = None) -> Column:
+    """A sub-expression over each item as JSON, with the scalars in scope as variables: JSON text.
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    ``beside`` has each row's own variables, as one JSON object.
+    """
+
+    def evaluated(texts: pd.Series, variables: pd.Series | None) -> pd.Series:
         from pathframe.dynamic.evaluate import Frame, Run, compile_node, evaluate
         from pathframe.dynamic.values import MISSING
         from pathframe.functions.registry import BUILTINS
@@ -60,10 +62,23 @@ def node_column(node: Node, names: dict[str, Any], json_text: Column) -> Column:
         code = compile_node(node)
         root = Frame(None, Run(), dict(BUILTINS))
         out = []
-        for t in texts:
-            frame = Frame(root, Run(), dict(names))
+        for i, t in enumerate(texts):
+            own = json.loads(variables[i], parse_int=float) if variables is not None else {}
+            frame = Frame(root, Run(), {**names, **own})
             got = evaluate(code, json.loads(t, parse_int=float) if isinstance(t, str) else MISSING, frame)
             out.append(None if got is MISSING else json.dumps(plain(got), ensure_ascii=False, separators=(",", ":")))
         return pd.Series(out, dtype="object")
 
-    return run(json_text)
+    if beside is None:
+
+        @F.pandas_udf("string")
+        def run(texts: pd.Series) -> pd.Series:
+            return evaluated(texts, None)
+
+        return run(json_text)
+
+    @F.pandas_udf("string")
+    def run_bound(texts: pd.Series, variables: pd.Series) -> pd.Series:
+        return evaluated(texts, variables)
+
+    return run_bound(json_text, beside)

@@ -37,7 +37,7 @@ from pathframe.syntax import Node, parse
 
 
 #: Built-ins that only the document evaluator has.
-DYNAMIC = frozenset({"formatNumber", "formatInteger", "parseInteger", "decodeUrl", "eval"})
+DYNAMIC = frozenset({"formatNumber", "formatInteger", "parseInteger", "eval"})
 
 
 @dataclass

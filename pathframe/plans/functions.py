@@ -190,8 +190,7 @@ def f_replace(ctx, v, what, by, limit=None):
         import re
 
         # Of a group's number the digits count that name a group; Java reads it the same way.
-        java = re.sub(r"\\", r"\\\\\\\\", new).replace("$$", "\\$")
-        java = re.sub(r"(?<!\\)\$(?![0-9])", r"\\$", java)
+        java = re.sub(r"\\|\$\$|\$(?![0-9])", lambda m: "\\\\" if m[0] == "\\" else "\\$", new)
         return Val(F.regexp_replace(_text(v), F.lit(_java(what.fn)), F.lit(java)), STRING)
     old = _literal(what, "what is replaced")
     if old == "":
@@ -256,6 +255,15 @@ def f_decode_component(ctx, v):
     return Val(F.when(s.isNotNull() & got.isNull(), raised("D3140", STRING)).otherwise(got), STRING)
 
 
+def f_decode_url(ctx, v):
+    s = _text(v)
+    # Escapes of signs that part a URL stay as they are.
+    kept = F.regexp_replace(s, "%(2[346BbCcFf]|3[AaBbDdFf]|40)", "%25$1")
+    plain = F.replace(kept, F.lit("+"), F.lit("%2B"))
+    got = F.try_url_decode(plain)
+    return Val(F.when(s.isNotNull() & got.isNull(), raised("D3140", STRING)).otherwise(got), STRING)
+
+
 def f_format_base(ctx, v, radix=None):
     r = 10 if radix is None or radix.missing else int(_literal(radix, "a radix"))
     if not 2 <= r <= 36:
@@ -632,7 +640,7 @@ FUNCTIONS: dict[str, tuple[Any, int, int, bool]] = {
     "substringAfter": (f_after, 2, 2, True), "lowercase": (f_lower, 1, 1, True), "uppercase": (f_upper, 1, 1, True), "trim": (f_trim, 1, 1, True),
     "pad": (f_pad, 2, 3, True), "contains": (f_contains, 2, 2, True), "split": (f_split, 2, 3, True), "replace": (f_replace, 3, 4, True), "match": (f_match, 2, 3, True),
     "join": (f_join, 1, 2, False), "base64encode": (f_base64encode, 1, 1, True), "base64decode": (f_base64decode, 1, 1, True),
-    "encodeUrlComponent": (f_encode_component, 1, 1, True), "encodeUrl": (f_encode_url, 1, 1, True), "decodeUrlComponent": (f_decode_component, 1, 1, True),
+    "encodeUrlComponent": (f_encode_component, 1, 1, True), "encodeUrl": (f_encode_url, 1, 1, True), "decodeUrlComponent": (f_decode_component, 1, 1, True), "decodeUrl": (f_decode_url, 1, 1, True),
     "formatBase": (f_format_base, 1, 2, True), "number": (f_number, 1, 1, True), "abs": (_numeric(F.abs), 1, 1, True), "floor": (_numeric(F.floor), 1, 1, True),
     "ceil": (_numeric(F.ceil), 1, 1, True), "round": (f_round, 1, 2, True), "sqrt": (f_sqrt, 1, 1, True), "power": (f_power, 2, 2, True), "random": (f_random, 0, 0, False),
     "boolean": (f_boolean, 1, 1, True), "not": (f_not, 1, 1, True), "exists": (f_exists, 1, 1, False), "type": (f_type, 1, 1, False), "error": (f_error, 0, 1, False),

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from itertools import count
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,21 +34,45 @@ class Rel:
     item: Val
     names: dict[str, Val] = field(default_factory=dict)
     parents: dict[str, Val] = field(default_factory=dict)
-    order: list[Column] | None = None
+    #: Keys, and whether they go down.
+    order: list[tuple[Column, bool]] | None = None
+    #: Whether the order's last key is one for ties, and whether the result is to come in this order.
+    extra_key: bool = False
+    asked: bool = False
     #: The DataFrame before the filters in ``conds``, for aggregates to share.
     base: DataFrame | None = None
     conds: list[Column] = field(default_factory=list)
     label: str = "value"
     #: Whether the context is the catalog again, after a binding.
     at_root: bool = False
+    #: Whether rows still come in the order of the table's files.
+    as_read: bool = False
 
     def changed(self, df: DataFrame, **more: Any) -> Rel:
         return replace(self, df=df, base=df, conds=[], **more)
 
+    def placed(self) -> Rel:
+        """With a last key of the order for ties: the place in the table, or after a shuffle a hash of the row."""
+        if not self.order or self.extra_key:
+            return self
+        c = f"_{next(_fresh)}"
+        hashed = [F.col(f"`{f.name}`") for f in self.df.schema.fields if "map<" not in f.dataType.simpleString()]
+        tie = F.monotonically_increasing_id() if self.as_read or not hashed else F.xxhash64(*hashed)
+        return self.changed(self.df.withColumn(c, tie), order=[*self.order, (F.col(c), False)], extra_key=True)
+
     def where(self, cond: Column) -> Rel:
         return replace(self, df=self.df.where(cond), base=self.base if self.base is not None else self.df, conds=[*self.conds, cond])
 
 
+def _mentions(n: Any, what: str, value: str) -> bool:
+    """Whether a node of this kind and value is in the tree."""
+    if isinstance(n, Node):
+        if n.kind == what and n.__dict__.get("value") == value:
+            return True
+        return any(_mentions(v, what, value) for v in n.__dict__.values())
+    return isinstance(n, (list, tuple)) and any(_mentions(v, what, value) for v in n)
+
+
 _AGGREGATES = ("sum", "count", "max", "min", "average")
 
 
@@ -91,6 +115,9 @@ class Relational:
         return [v.as_column().alias(label)]
 
     def output(self, r: Rel) -> DataFrame:
+        if r.order and r.asked:
+            r = r.placed()
+            return r.df.orderBy(*ordered(r.order)).select(*self._columns(r.item, r.label))
         return r.df.select(*self._columns(r.item, r.label))
 
     def _scalars(self) -> DataFrame:
@@ -188,7 +215,7 @@ class Relational:
             return self.compiler.lower(Node("array", n.pos, items=[n]), s)
         df = self.spark.range(int(a.const), int(b.const) + 1)
         c = f"_{next(_fresh)}"
-        return Rel(df.select(F.col("id").cast("double").alias(c)), Val(F.col(c), DOUBLE), order=[F.col(c)])
+        return Rel(df.select(F.col("id").cast("double").alias(c)), Val(F.col(c), DOUBLE), order=[(F.col(c), False)], extra_key=True)
 
     def _source(self, name: str) -> Rel:
         if self.open is not None and name not in self.open:
@@ -202,7 +229,7 @@ class Relational:
         df, k = self.catalog[name], next(_fresh)
         named = df.select(*[F.col(f"`{f.name}`").alias(f"{f.name}_{k}") for f in df.schema.fields])
         item = Val(fields={f.name: from_column(F.col(f"`{f.name}_{k}`"), f.dataType) for f in df.schema.fields})
-        return Rel(named, item, base=named)
+        return Rel(named, item, base=named, as_read=True)
 
     # -- paths
 
@@ -254,7 +281,7 @@ class Relational:
             v = build(self._scope(r, self.scope))
             joined = self.current[-1][0]
             if joined is not r:
-                r.df, r.base, r.conds = joined.df, joined.df, []
+                r.df, r.base, r.conds, r.as_read = joined.df, joined.df, [], False
             return v
         finally:
             self.current.pop()
@@ -275,9 +302,14 @@ class Relational:
         return r
 
     def _numbered(self, r: Rel, name: str) -> Rel:
-        c = f"_{next(_fresh)}"
-        df = with_ordinal(r.df, c, r.order)
-        return r.changed(df, names={**r.names, name: Val(F.col(c), DOUBLE)}, order=[F.col(c)])
+        r, c = self._positions(r)
+        return replace(r, names={**r.names, name: Val(F.col(c), DOUBLE)})
+
+    @staticmethod
+    def _positions(r: Rel) -> tuple[Rel, str]:
+        """Rows with their positions, and the column that has them."""
+        r, c = r.placed(), f"_{next(_fresh)}"
+        return r.changed(with_ordinal(r.df, c, ordered(r.order)), order=[(F.col(c), False)], extra_key=True, as_read=False), c
 
     def _step(self, r: Rel, step: Node, s: Scope, tuples: bool = False) -> Rel:
         before = r.item
@@ -291,8 +323,8 @@ class Relational:
                     continue
                 if v.many or kind(v) not in ("number", "string"):
                     raise EvalError("T2008", kind(v))
-                keys.append(v.col.desc_nulls_last() if down else v.col.asc_nulls_last())
-            return self._after(step, r.changed(r.df, order=keys) if keys else r, before, s)
+                keys.append((v.col, bool(down)))
+            return self._after(step, r.changed(r.df, order=keys, extra_key=False, asked=True) if keys else r, before, s)
         if step.kind == "name":
             got = MISSING if r.at_root else field_of(r.item, step.value)
             if got.missing and step.value in self.catalog and (r.at_root or r.names):
@@ -317,13 +349,22 @@ class Relational:
         return got
 
     def _document(self, r: Rel, n: Node, s: Scope) -> Val:
-        """A step that types don't carry, by the document evaluator over each item: JSON text."""
-        if r.at_root or r.parents or any(v.col is not None and not v.is_const for v in r.names.values()):
-            raise Unsupported("a dynamic step over bound rows")
+        """A step that types don't carry, by the document evaluator over each item: JSON text.
+
+        Variables and parents of the row go with it.
+        """
+        if r.at_root and (self._names_tables(n) or _mentions(n, "variable", "$")):
+            raise Unsupported("a dynamic step with a table in a row")
         names: dict[str, Any] = {}
+        bound: dict[str, Column] = {k: v.as_column() for k, v in r.parents.items() if not v.missing}
+        for k, v in r.names.items():
+            if not v.is_const and v.fn is None and v.extra.get("rel") is None:
+                bound[k] = v.as_column()
         scope: Scope | None = s
         while scope is not None:
             for k, v in scope.names.items():
+                if k in bound or not _mentions(n, "variable", k):
+                    continue
                 if v.is_const:
                     names.setdefault(k, v.const)
                 elif isinstance(v.fn, Closure):
@@ -335,11 +376,20 @@ class Relational:
         defined = [Node("bind", n.pos, name=k, value=v) for k, v in names.items() if isinstance(v, Node)]
         body = Node("block", n.pos, parts=[*defined, n]) if defined else n
         plain = {k: v for k, v in names.items() if not isinstance(v, Node)}
-        item = r.item.as_column()
-        text = F.to_json(item if r.item.fields is not None or isinstance(r.item.dtype, T.StructType) else F.array(item))
-        if r.item.fields is None and not isinstance(r.item.dtype, T.StructType):
-            body = Node("path", n.pos, steps=[Node("variable", n.pos, value=""), body])
-        return Val(node_column(body, plain, text), T.StringType())
+        if r.at_root:
+            text = F.lit(None).cast("string")
+        else:
+            item = r.item.as_column()
+            whole = r.item.fields is not None or isinstance(r.item.dtype, T.StructType)
+            text = F.to_json(item if whole else F.array(item))
+            if not whole:
+                body = Node("path", n.pos, steps=[Node("variable", n.pos, value=""), body])
+        used = {k: c for k, c in bound.items() if k in r.parents or _mentions(n, "variable", k)}
+        beside = F.to_json(F.struct(*[c.alias(k) for k, c in used.items()])) if used else None
+        return Val(node_column(body, plain, text, beside), T.StringType())
+
+    def _names_tables(self, n: Node) -> bool:
+        return any(_mentions(n, "name", t) for t in self.catalog.tables)
 
     def _items(self, r: Rel, got: Val, label: str) -> Rel:
         if got.missing:
@@ -364,7 +414,7 @@ class Relational:
         both = Rel(r.df, other.item, names, dict(r.parents))
         stages, cond = list(step.stages or ()), None
         while stages and stages[0][0] == "filter" and not self._positional(stages[0][1]):
-            c = self.condition(stages.pop(0)[1], self._scope(both, s))
+            c = self.condition(stages.pop(0)[1], self._scope(both, s), False)
             cond = c if cond is None else cond & c
         df = r.df.join(other.df, cond, "inner") if cond is not None else r.df.crossJoin(other.df)
         out = Rel(df, other.item, names, dict(r.parents), base=df, label=step.value)
@@ -389,9 +439,8 @@ class Relational:
                 if a.is_const and b.is_const and a.const >= 0:
                     return self._limit(r, int(a.const), max(0, int(b.const) - int(a.const) + 1))
             if all(i.kind == "number" and i.value >= 0 for i in test.items):
-                c = f"_{next(_fresh)}"
-                df = with_ordinal(r.df, c, r.order)
-                return r.changed(df.where(F.col(c).isin([float(int(i.value)) for i in test.items])), order=[F.col(c)])
+                r, c = self._positions(r)
+                return r.changed(r.df.where(F.col(c).isin([float(int(i.value)) for i in test.items])))
             raise Unsupported("these positions of a table")
         for t in self._conjuncts(test):
             r = self._filter(r, t, s)
@@ -418,14 +467,24 @@ class Relational:
                     return r if negated else r.where(F.lit(False))
                 x, y = (v.col, o.col) if v.dtype == o.dtype else (v.double(), o.double())
                 keys = other.df.select(y.alias(c))
-                return r.changed(r.df.join(keys, x == F.col(c), "left_anti" if negated else "left_semi"))
+                return r.changed(r.df.join(keys, x == F.col(c), "left_anti" if negated else "left_semi"), as_read=False)
         self.current.append([r])
         try:
             cond = self.condition(t, self._scope(r, s))
             r = self.current[-1][0]
         finally:
             self.current.pop()
-        return r.where(cond)
+        return self._at(r, cond) if isinstance(cond, Val) else r.where(cond)
+
+    def _at(self, r: Rel, v: Val) -> Rel:
+        """The rows whose position is the number that the predicate gives for them; from the end if it is negative."""
+        if v.is_const:
+            return self._limit(r, int(v.const // 1), 1)
+        r, c = self._positions(r)
+        wanted = F.floor(v.double())
+        # One number, counted over stored rows.
+        total = r.df.count()
+        return r.where(F.col(c) == F.when(wanted < 0, wanted + F.lit(total)).otherwise(wanted))
 
     def _leaves(self, n: Node, s: Scope) -> bool:
         """Whether a path starts at a table."""
@@ -437,13 +496,16 @@ class Relational:
             return first.value == "$" or self._leaves(first, s)
         return False
 
-    def condition(self, n: Node, s: Scope) -> Column:
-        """A predicate that may be null where it isn't true: so that joins and scans see plain comparisons."""
+    def condition(self, n: Node, s: Scope, top: bool = True) -> Column | Val:
+        """A predicate that may be null where it isn't true: so that joins and scans see plain comparisons.
+
+        One that gives a number, a position, comes as a value.
+        """
         if n.kind == "op" and n.op in ("and", "or") and not n.stages:
-            a, b = self.condition(n.lhs, s), self.condition(n.rhs, s)
+            a, b = self.condition(n.lhs, s, False), self.condition(n.rhs, s, False)
             return a & b if n.op == "and" else a | b
         if n.kind == "block" and len(n.parts) == 1 and not n.stages:
-            return self.condition(n.parts[0], s)
+            return self.condition(n.parts[0], s, top)
         if n.kind == "op" and n.op == "=" and not n.stages:
             a, b = self.compiler.lower(n.lhs, s), self.compiler.lower(n.rhs, s)
             if not (a.missing or b.missing or a.many or b.many) and kind(a) == kind(b) and kind(a) in ("number", "string", "boolean") and not (a.is_const and b.is_const):
@@ -452,53 +514,95 @@ class Relational:
             return truthy(self.compiler.equality(a, b, True))
         v = self.compiler.lower(n, s)
         if v.number:
-            raise Unsupported("a computed position in a table")
+            if not top:
+                raise Unsupported("a number beside a test in a table")
+            return v
         return v.col if n.kind == "op" and n.op in ("<", "<=", ">", ">=") and v.col is not None else truthy(v)
 
     def _limit(self, r: Rel, skip: int, take: int) -> Rel:
-        order = r.order
         if skip < 0:
-            if not order:
+            if not r.order and not r.as_read:
                 raise Unsupported("the end of a table without an order")
-            c = f"_{next(_fresh)}"
-            df = with_ordinal(r.df, c, order)
-            last = df.orderBy(F.col(c).desc()).offset(-skip - 1).limit(take)
-            return r.changed(last, order=[F.col(c)])
-        df = r.df.orderBy(*order) if order else r.df
+            # The last few are the first few from the end, so no position is counted.
+            r, c = r.placed(), f"_{next(_fresh)}"
+            if not r.order:
+                r = r.changed(r.df.withColumn(c, F.monotonically_increasing_id()), order=[(F.col(c), False)], extra_key=True)
+            end = r.df.orderBy(*ordered(r.order, True)).limit(-skip)
+            if skip < -1:
+                # Fewer rows than that have none at this position; of so many, one task's work.
+                n = f"_{next(_fresh)}"
+                end = end.withColumn(n, F.count("*").over(Window.partitionBy(F.lit(0)))).where(F.col(n) == -skip).orderBy(*ordered(r.order)).limit(take)
+            return r.changed(end, as_read=False, asked=False)
+        r = r.placed()
+        df = r.df.orderBy(*ordered(r.order)) if r.order else r.df
         if skip:
             df = df.offset(skip)
-        return r.changed(df.limit(take))
+        return r.changed(df.limit(take), as_read=False, asked=False)
 
     # -- grouping
 
     def _group(self, r: Rel, pairs: list[tuple[Node, Node]], s: Scope) -> Rel:
-        out: Rel | None = None
-        for k, v in pairs:
-            one = self._grouped(r, k, v, s)
-            out = one if out is None else self._union(out, one)
-        return out
+        """One row a key.
 
-    def _grouped(self, r: Rel, k: Node, v: Node, s: Scope) -> Rel:
+        Of several pairs each row gives a key for each, and one aggregation
+        serves all; a key that two pairs give is an error.
+        """
         row = self._scope(r, s)
-        key = self.compiler.lower(k, row)
-        if key.missing:
+        keys: list[tuple[int, Val]] = []
+        for i, (k, _) in enumerate(pairs):
+            key = self.compiler.lower(k, row)
+            if key.missing:
+                continue
+            if not key.string:
+                raise EvalError("T1003", kind(key))
+            keys.append((i, key))
+        if not keys:
             return r.changed(r.df.where(F.lit(False)), item=Val(fields={"key": Val(F.lit(""), T.StringType())}))
-        if not key.string:
-            raise EvalError("T1003", kind(key))
-        bucket = Bucket(self, r)
-        compiler = ColumnCompiler(self.compiler.functions, self.compiler.now, bucket)
-        value = compiler.lower(v, Scope(r.item, s.root, dict(r.names), s, dict(r.parents)))
-        kname = f"_{next(_fresh)}"
-        fields = value.fields if value.fields is not None else {"value": value}
-        cols = {f: (f"_{next(_fresh)}", x) for f, x in fields.items() if not x.missing}
-        by = key.col.alias(kname)
-        filtered = r.df if key.is_const else r.df.where(key.col.isNotNull())
-        df = filtered.groupBy(by).agg(*[x.as_column().alias(c) for c, x in cols.values()]) if cols else filtered.select(by).distinct()
-        if value.fields is None and cols:
-            df = df.where(F.col(next(iter(cols.values()))[0]).isNotNull())
+        kname, pname = f"_{next(_fresh)}", f"_{next(_fresh)}"
+        if len(pairs) == 1:
+            key = keys[0][1]
+            rows = (r.df if key.is_const else r.df.where(key.col.isNotNull())).withColumn(kname, key.col)
+        else:
+            given = F.array(*[F.when(key.col.isNotNull(), F.struct(F.lit(i).alias("p"), key.col.alias("k"))) for i, key in keys])
+            rows = r.df.withColumn(pname, F.explode(F.array_compact(given)))
+            rows = rows.withColumn(kname, F.col(f"{pname}.k")).withColumn(pname, F.col(f"{pname}.p"))
+        made: dict[str, list[tuple[int, str, Val]]] = {}
+        plain: list[str] = []
+        for i, _ in keys:
+            bucket = Bucket(self, r, F.col(pname) == i if len(pairs) > 1 else None)
+            value = ColumnCompiler(self.compiler.functions, self.compiler.now, bucket).lower(pairs[i][1], Scope(r.item, s.root, dict(r.names), s, dict(r.parents)))
+            for f, x in (value.fields if value.fields is not None else {"value": value}).items():
+                if not x.missing:
+                    made.setdefault(f, []).append((i, f"_{next(_fresh)}", x))
+            if value.fields is None and not value.missing:
+                plain.append(made["value"][-1][1])
+        cols = [x.as_column().alias(c) for of in made.values() for _, c, x in of]
+        if len(pairs) > 1:
+            cols += [F.min(pname).alias(pname), F.max(pname).alias(pname + "m")]
+        df = rows.groupBy(kname).agg(*cols) if cols else rows.select(kname).distinct()
         got = {"key": Val(F.col(kname), T.StringType())}
-        for f, (c, x) in cols.items():
-            got[f] = from_column(F.col(c), T.ArrayType(x.dtype, False)) if x.many else Val(F.col(c), _dtype(x)) if x.fields is None else from_column(F.col(c), _dtype(x))
+        if len(pairs) == 1:
+            if plain:
+                df = df.where(F.col(plain[0]).isNotNull())
+            for f, [(_, c, x)] in made.items():
+                got[f] = from_column(F.col(c), T.ArrayType(x.dtype, False)) if x.many else Val(F.col(c), _dtype(x)) if x.fields is None else from_column(F.col(c), _dtype(x))
+            return Rel(df, Val(fields=got), base=df, label="value")
+        clash = F.raise_error(F.concat(F.lit("D1009: keys of an object are not unique: "), F.col(kname))).cast("boolean")
+        df = df.where(F.when(F.col(pname) != F.col(pname + "m"), clash).otherwise(F.lit(True)))
+        shown = [F.col(kname)]
+        for f, of in made.items():
+            types = [T.ArrayType(x.dtype, False) if x.many else _dtype(x) for _, _, x in of]
+            if any(t != types[0] for t in types) and not all(isinstance(t, NUMERIC) for t in types):
+                raise Unsupported("values of several types under one name")
+            dtype = types[0] if all(t == types[0] for t in types) else DOUBLE
+            c = f"_{next(_fresh)}"
+            shown.append(F.coalesce(*[F.when(F.col(pname) == i, F.col(k).cast(dtype)) for i, k, _ in of]).alias(c))
+            got[f] = from_column(F.col(c), dtype)
+        if plain and set(made) == {"value"}:
+            # A pair without a value gives no entry.
+            there = F.coalesce(*[F.when(F.col(pname) == i, F.col(k).isNotNull()) for i, k, _ in made["value"]], F.lit(True))
+            df = df.where(there)
+        df = df.select(*shown)
         return Rel(df, Val(fields=got), base=df, label="value")
 
     def _union(self, a: Rel | Val, b: Rel | Val) -> Rel | Val:
@@ -553,16 +657,16 @@ class Relational:
         if name == "append":
             return self._union(r, self.lower(args[0], s))
         if name == "shuffle":
-            return r.changed(r.df, order=[F.rand()])
+            return r.changed(r.df, order=[(F.rand(), False)], extra_key=True, asked=True)
         if name == "reverse":
-            if not r.order:
+            if not r.order and not r.as_read:
                 raise Unsupported("reversing a table without an order")
-            c = f"_{next(_fresh)}"
-            return r.changed(with_ordinal(r.df, c, r.order), order=[F.col(c).desc()])
+            r, c = self._positions(r)
+            return replace(r, order=[(F.col(c), True)], asked=True)
         if name == "sort" and not args:
             if r.item.fields is not None or kind(r.item) not in ("number", "string"):
                 raise EvalError("D3070")
-            return r.changed(r.df, order=[r.item.col.asc_nulls_last()])
+            return r.changed(r.df, order=[(r.item.col, False)], extra_key=False, asked=True)
         if name in ("filter", "map") and args:
             fn = self.compiler.lower(args[0], s)
             if self.compiler.arity(fn) > 1:
@@ -581,11 +685,67 @@ class Relational:
     # -- hooks of the column compiler
 
     def path(self, n: Node, s: Scope) -> Val | None:
-        r = self._relation_path(n, s) if self._starts_at_table(n, s) else None
-        if r is None:
+        if not self._starts_at_table(n, s):
+            return None
+        if self.current:
+            return self._looked_up(n, s)
+        if self._relation_path(n, s) is None:
             return None
         raise Unsupported("a table inside a row")
 
+    def _looked_up(self, n: Node, s: Scope) -> Val:
+        """Values of the rows of another table that match the current one: the first, the last or all, in order.
+
+        One pass over that table by its key, then a join; what is kept of a
+        key's rows is one value unless all are asked for.
+        """
+        steps = [x for x in n.steps if not (x.kind == "variable" and x.value == "$")]
+        other, inner, outer, rest = self._matching(steps[0], s)
+        here = Scope(self.root, self.root, {}, None)
+        at: int | None = None
+        steps = steps[1:]
+        if rest:
+            at = self._first_or_last(rest)
+        elif steps and steps[0].kind == "sort":
+            sort = steps.pop(0)
+            if sort.stages:
+                at = self._first_or_last(sort.stages)
+            other = self._step(other, Node("sort", sort.pos, terms=sort.terms), here, False)
+        for step in steps:
+            other = self._step(other, step, here, False)
+        if other.item.many:
+            raise Unsupported("arrays of a table that is looked up")
+        order = other.order or []
+        if not order and not other.as_read:
+            raise Unsupported("matches without an order")
+        place, c = f"_{next(_fresh)}", f"_{next(_fresh)}"
+        value = F.struct(other.item.as_column().alias("v"))
+        keys = [f"_{next(_fresh)}" for _ in inner]
+        rows = other.df.withColumn(place, F.monotonically_increasing_id())
+        parts = []
+        for i, (k, down) in enumerate(order):
+            if down and not isinstance(other.df.select(k).schema.fields[0].dataType, NUMERIC):
+                raise Unsupported("a descending order by text of a table that is looked up")
+            parts.append((-k if down else k, f"{place}_{i}"))
+        for k, name in parts:
+            rows = rows.withColumn(name, k)
+        by = F.struct(*[F.col(name) for _, name in parts], F.col(place))
+        best = {0: F.min_by(value, by), -1: F.max_by(value, by)}
+        every = F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), other.item.as_column().alias("v")))), lambda x: x["v"])
+        grouped = rows.groupBy(*[k.alias(x) for k, x in zip(inner, keys, strict=True)]).agg((every if at is None else best[at].getField("v")).alias(c))
+        self._joined(grouped, keys, outer)
+        dtype = _dtype(other.item)
+        return Val(F.col(c), dtype, True) if at is None else from_column(F.col(c), dtype)
+
+    def _first_or_last(self, stages: Any) -> int:
+        if len(stages) == 1 and stages[0][0] == "filter":
+            test = stages[0][1]
+            if test.kind == "number" and test.value in (0, -1):
+                return int(test.value)
+            if test.kind == "neg" and test.arg.kind == "number" and test.arg.value == 1:
+                return -1
+        raise Unsupported("these positions in a table that is looked up")
+
     def _starts_at_table(self, n: Node, s: Scope) -> bool:
         first = n.steps[0]
         if first.kind == "variable":
@@ -621,34 +781,43 @@ class Relational:
         if arg.kind != "path" or not self._starts_at_table(arg, s):
             return None
         steps = [x for x in arg.steps if not (x.kind == "variable" and x.value == "$")]
-        other = self._source(steps[0].value)
-        outer_keys: list[Column] = []
-        inner_keys: list[Column] = []
-        for what, test in steps[0].stages or ():
-            if what != "filter" or self._positional(test):
-                raise Unsupported("positions in a table that is looked up")
-            for t in self._conjuncts(test):
+        other, inner, outer, rest = self._matching(steps[0], s)
+        if rest:
+            raise Unsupported("positions in a table that is looked up")
+        for step in steps[1:]:
+            other = self._step(other, step, Scope(self.root, self.root, {}, None), False)
+        names = [f"_{next(_fresh)}" for _ in inner]
+        c = f"_{next(_fresh)}"
+        grouped = other.df.groupBy(*[k.alias(x) for k, x in zip(inner, names, strict=True)]).agg(aggregate_column(name, other.item, None, False).alias(c))
+        self._joined(grouped, names, outer)
+        return Val(F.coalesce(F.col(c), F.lit(0.0)) if name == "count" else F.col(c), DOUBLE)
+
+    def _matching(self, step: Node, s: Scope) -> tuple[Rel, list[Column], list[Column], list]:
+        """A table that is looked up, its keys, the current row's, and the stages after the predicates."""
+        other = self._source(step.value)
+        inner: list[Column] = []
+        outer: list[Column] = []
+        stages = list(step.stages or ())
+        while stages and stages[0][0] == "filter" and not self._positional(stages[0][1]):
+            for t in self._conjuncts(stages.pop(0)[1]):
                 pair = self._correlated(t, other, s)
                 if pair is None:
-                    other = other.where(self.condition(t, Scope(other.item, s.root, {}, None)))
+                    other = other.where(self.condition(t, Scope(other.item, s.root, {}, None), False))
                 else:
-                    inner_keys.append(pair[0])
-                    outer_keys.append(pair[1])
-        for step in steps[1:]:
-            other = self._step(other, step, Scope(self.root, self.root, {}, None), False)
-        if not inner_keys:
+                    inner.append(pair[0])
+                    outer.append(pair[1])
+        if not inner:
             raise Unsupported("a table inside a row")
-        names = [f"_{next(_fresh)}" for _ in inner_keys]
-        c = f"_{next(_fresh)}"
-        grouped = other.df.groupBy(*[k.alias(x) for k, x in zip(inner_keys, names, strict=True)]).agg(aggregate_column(name, other.item, None, False).alias(c))
+        return other, inner, outer, stages
+
+    def _joined(self, grouped: DataFrame, names: list[str], outer: list[Column]) -> None:
+        """The current rows with what was grouped for their keys."""
         r = self.current[-1][0]
         cond = None
-        for x, k in zip(names, outer_keys, strict=True):
+        for x, k in zip(names, outer, strict=True):
             one = F.col(x) == k
             cond = one if cond is None else cond & one
-        joined = r.df.join(grouped, cond, "left")
-        self.current[-1][0] = r.changed(joined)
-        return Val(F.coalesce(F.col(c), F.lit(0.0)) if name == "count" else F.col(c), DOUBLE)
+        self.current[-1][0] = r.changed(r.df.join(grouped, cond, "left"), as_read=False)
 
     def _correlated(self, t: Node, other: Rel, s: Scope) -> tuple[Column, Column] | None:
         if not (t.kind == "op" and t.op == "="):
@@ -674,6 +843,8 @@ class Relational:
 
 def aggregate_column(name: str, item: Val, cond: Column | None, distinct: Any) -> Column:
     """A Spark aggregate of a relation's items, of those that ``cond`` holds for."""
+    if item.many:
+        return _appended(name, item, cond, distinct)
     if name == "count":
         x = F.lit(1) if item.fields is not None else item.as_column()
         if cond is not None:
@@ -687,17 +858,45 @@ def aggregate_column(name: str, item: Val, cond: Column | None, distinct: Any) -
     return {"sum": F.sum, "max": F.max, "min": F.min, "average": F.avg}[name](x).cast("double")
 
 
+def _appended(name: str, item: Val, cond: Column | None, distinct: Any) -> Column:
+    """An aggregate of arrays as if they were one: each gives a part, and parts are combined before the shuffle."""
+    x = item.col if cond is None else F.when(cond, item.col)
+    if distinct:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(x)))).cast("double")
+    size = F.sum(F.coalesce(F.size(F.array_compact(x)), F.lit(0))).cast("double")
+    if name == "count":
+        return size
+    if not isinstance(item.dtype, NUMERIC):
+        raise EvalError("T0412", kind(item))
+    numbers = F.array_compact(x).cast("array<double>")
+    total = F.sum(F.when(F.size(numbers) > 0, F.aggregate(numbers, F.lit(0.0), lambda a, b: a + b)))
+    return {"sum": total, "max": F.max(F.array_max(numbers)), "min": F.min(F.array_min(numbers)), "average": total / size}[name].cast("double")
+
+
+def ordered(order: list[tuple[Column, bool]] | None, backwards: bool = False) -> list[Column] | None:
+    """Sort columns: what is missing comes last."""
+    if backwards:
+        return [c.asc_nulls_first() if down else c.desc_nulls_first() for c, down in order]
+    return order and [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in order]
+
+
 class Bucket:
     """Hooks for the value of a grouping: aggregates of the bucket's items."""
 
-    def __init__(self, rel: Relational, r: Rel):
-        self.rel, self.r = rel, r
+    def __init__(self, rel: Relational, r: Rel, only: Column | None = None):
+        self.rel, self.r, self.only = rel, r, only
 
     def membership(self, n: Node, s: Scope) -> Val | None:
         return None
 
     def _part(self, n: Node, s: Scope) -> tuple[Val, Column | None] | None:
-        """Item and condition of a path from the bucket."""
+        """Item and condition of a path from the bucket, of the rows that are its own."""
+        part = self._path(n, s)
+        if part is None or self.only is None:
+            return part
+        return part[0], self.only if part[1] is None else self.only & part[1]
+
+    def _path(self, n: Node, s: Scope) -> tuple[Val, Column | None] | None:
         if n.kind == "variable" and n.value == "" and s.item is self.r.item:
             cond = self._conds(n.stages, s.item, s)
             return self.r.item, cond
@@ -705,7 +904,7 @@ class Bucket:
             return self.r.names[n.value], self._conds(n.stages, self.r.names[n.value], s)
         if n.kind != "path" or n.group is not None or s.item is not self.r.item:
             if n.kind == "block" and len(n.parts) == 1 and not n.stages:
-                return self._part(n.parts[0], s)
+                return self._path(n.parts[0], s)
             return None
         item, cond = self.r.item, None
         for i, step in enumerate(n.steps):
@@ -718,7 +917,7 @@ class Bucket:
                     return None
             elif step.kind == "name":
                 item = field_of(item, step.value)
-                if item.missing or item.many:
+                if item.missing or item.many and (step.stages or item.fields is not None):
                     return None
             elif step.kind == "sort" or step.focus or step.index:
                 return None
@@ -767,6 +966,9 @@ class Bucket:
         if part is None:
             return None
         item, cond = part
+        if item.many:
+            x = item.col if cond is None else F.when(cond, item.col)
+            return Val(F.flatten(F.collect_list(x)), item.dtype, True)
         x = item.as_column() if cond is None else F.when(cond, item.as_column())
         return Val(F.collect_list(x), _dtype(item), True)
 

@@ -97,6 +97,44 @@ def test_error(text, code):
     assert e.value.code == code
 
 
+def test_number_words_go_round():
+    from pathframe.functions.dates import number_words
+
+    some = [*range(1200), *(7919 * k for k in range(500)), 10**6, 10**9 + 1, 10**12, 10**15 + 7, 999_999_999_999, 1_000_100, 20_000_020]
+    for n in some:
+        for picture in ("w", "Ww", "W", "w;o"):
+            text = compile(f"$formatInteger({n}, '{picture}')").evaluate()
+            assert compile(f"$parseInteger('{text}', '{picture}')").evaluate() == n, text
+    assert number_words(1_023_045) == "one million, twenty-three thousand and forty-five"
+    assert [compile(f"$parseInteger('{t}', 'w')").evaluate() for t in ("hundred and", "and", "ten-", ", ", "twelve")] == [None, None, 10, None, 12]
+
+
+def test_dates_far_away():
+    import datetime
+
+    for ms in (0, -1, 1e15, -1e14, 8.64e15, -8.64e15, 951782400000, -62135596800001):
+        text = compile(f"$fromMillis({int(ms)}, '[Y]-[M]-[D] [H]:[m]:[s].[f001]')").evaluate()
+        if -62135596800000 <= ms <= 253402300799999:
+            d = datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms)
+            assert text == f"{d.year}-{d.month}-{d.day} {d.hour}:{d.minute:02d}:{d.second:02d}.{d.microsecond // 1000:03d}"
+    assert compile("$fromMillis(1e15, '[Y]-[M01]-[D01]')").evaluate() == "33658-09-27"
+    for ms in ("8.64e15 + 1", "-8.64e15 - 1"):
+        with pytest.raises(EvalError):
+            compile(f"$fromMillis({ms})").evaluate()
+    with pytest.raises(EvalError):
+        compile("$toMillis('2023-02-30')").evaluate()
+    assert compile("$toMillis('2024-02-29T00:00:00Z')").evaluate() == 1709164800000
+
+
+def test_all_codes_but_those_that_can_not_occur():
+    from pathframe.errors import MESSAGES
+    from pathframe.queries import CODES
+
+    got = run_cases([{"id": t, "expr": t, "input": {}} for t in CODES])
+    assert {t: x["err"].split(":")[1] for t, x in got.items()} == CODES
+    assert len(set(CODES.values())) >= 83 and set(CODES.values()) <= set(MESSAGES)
+
+
 def test_numbers_as_text():
     shown = {0.1 + 0.2: "0.30000000000000004", 1e21: "1e+21", 1e-7: "1e-7", 123456789012: "123456789012", 1.5: "1.5", -0.001: "-0.001", 1e20: "100000000000000000000"}
     assert {js_number(float(k)) for k in shown} == set(shown.values())
