@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 from collections.abc import Callable
 
@@ -10,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of the GNU C library; others have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 #: A-Z and a-z, for lower-casing ASCII only.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -46,8 +51,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tidy() -> None:
-    """Give back what Arrow's allocator holds unused: a worker lives on between tasks."""
+    """Give back what Arrow's allocator and the C library hold unused: a worker lives on between tasks."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def ascii_lower(text: Column) -> Column:

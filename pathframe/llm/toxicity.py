@@ -74,6 +74,9 @@ class TermMatcher:
     With ``first`` a word's first letter may be edited as any other.
     """
 
+    #: States that are kept; then the automaton starts anew.
+    LIMIT = 200_000
+
     def __init__(self, terms: list[tuple[str, bool]], first: bool = False):
         self.first = first
         #: Node: children, term that ends here, and the largest budget below.
@@ -160,7 +163,7 @@ class TermMatcher:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """``(term, cost)`` of the best match of the whole word, or of its beginning by a stem."""
-        if len(self.states) > 200_000:
+        if len(self.states) > self.LIMIT:
             self._reset()
         state, stem = 0, None
         for x in word:
