@@ -15,8 +15,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from pathframe.errors import EvalError
+from pathframe.operators.intervals import interval_join
 from pathframe.operators.ordinal import with_ordinal
 from pathframe.operators.documents import node_column
 from pathframe.plans.column import Builtin, Closure, ColumnCompiler, Scope, from_column
@@ -412,16 +414,42 @@ class Relational:
         if step.focus:
             names[step.focus] = other.item
         both = Rel(r.df, other.item, names, dict(r.parents))
-        stages, cond = list(step.stages or ()), None
+        stages, cond, tests = list(step.stages or ()), None, []
         while stages and stages[0][0] == "filter" and not self._positional(stages[0][1]):
-            c = self.condition(stages.pop(0)[1], self._scope(both, s), False)
+            test = stages.pop(0)[1]
+            tests += self._conjuncts(test)
+            c = self.condition(test, self._scope(both, s), False)
             cond = c if cond is None else cond & c
-        df = r.df.join(other.df, cond, "inner") if cond is not None else r.df.crossJoin(other.df)
+        df = r.df.crossJoin(other.df) if cond is None else self._by_range(r.df, other.df, tests, cond, self._scope(both, s))
         out = Rel(df, other.item, names, dict(r.parents), base=df, label=step.value)
         for stage in stages:
             out = self._stage(out, stage, s)
         return replace(out, item=self.root, at_root=True) if step.focus else out
 
+    def _by_range(self, left: DataFrame, right: DataFrame, tests: list[Node], cond: Column, s: Scope) -> DataFrame:
+        """The join; if all that ties the sides is that a number lies in an interval, by buckets as wide as intervals."""
+        bounds: list[tuple[tuple[bool, Column], tuple[bool, Column]]] = []
+        for t in tests:
+            if t.kind != "op" or t.op not in ("=", "<", "<=", ">", ">="):
+                continue
+            a, b = self.compiler.lower(t.lhs, s), self.compiler.lower(t.rhs, s)
+            if not (a.number and b.number) or a.is_const or b.is_const:
+                if t.op == "=" and not (a.is_const or b.is_const):
+                    return left.join(right, cond, "inner")
+                continue
+            sides = [_side(v.col, left, right) for v in (a, b)]
+            if None in sides or sides[0] == sides[1]:
+                continue
+            if t.op == "=":
+                return left.join(right, cond, "inner")
+            ends = [(side, v.double()) for side, v in zip(sides, (a, b), strict=True)]
+            bounds.append((ends[0], ends[1]) if t.op in ("<", "<=") else (ends[1], ends[0]))
+        for (of_low, low), (of_point, point) in bounds:
+            for (of_point2, point2), (of_high, high) in bounds:
+                if of_low == of_high and of_point == of_point2 != of_low and str(point) == str(point2):
+                    return interval_join(left, right, cond, low, high, point, of_low)
+        return left.join(right, cond, "inner")
+
     @staticmethod
     def _positional(test: Node) -> bool:
         return test.kind == "number" or test.kind == "array" or test.kind == "neg"
@@ -873,6 +901,17 @@ def _appended(name: str, item: Val, cond: Column | None, distinct: Any) -> Colum
     return {"sum": total, "max": F.max(F.array_max(numbers)), "min": F.min(F.array_min(numbers)), "average": total / size}[name].cast("double")
 
 
+def _side(col: Column, left: DataFrame, right: DataFrame) -> bool | None:
+    """Whether a column is of the left side; None if it is of neither alone."""
+    for is_left, df in ((True, left), (False, right)):
+        try:
+            df.select(col).schema  # noqa: B018  analysed here
+            return is_left
+        except AnalysisException:
+            continue
+    return None
+
+
 def ordered(order: list[tuple[Column, bool]] | None, backwards: bool = False) -> list[Column] | None:
     """Sort columns: what is missing comes last."""
     if backwards:

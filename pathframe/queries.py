@@ -62,6 +62,8 @@ QUERIES: dict[str, Query] = {
     "join_implicit": Q('orders@$o.customer[$o.o_custkey = c_custkey].{"k": $o.o_orderkey, "n": c_name}', "orders customer", "select o_orderkey k, c_name n from orders join customer on o_custkey = c_custkey"),
     "join_multi": Q('lineitem@$l.orders@$o[$l.l_orderkey = $o.o_orderkey].customer@$c[$o.o_custkey = $c.c_custkey].nation@$n[$c.c_nationkey = $n.n_nationkey].{"o": $o.o_orderkey, "l": $l.l_linenumber, "n": $n.n_name}', "lineitem orders customer nation", "select o_orderkey o, l_linenumber l, n_name n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"),
     "join_theta": Q('nation@$a.nation@$b[$a.n_nationkey < $b.n_nationkey and $a.n_regionkey = $b.n_regionkey].{"a": $a.n_name, "b": $b.n_name}', "nation", "select a.n_name a, b.n_name b from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey = b.n_regionkey"),
+    "join_range": Q('part@$p.supplier@$s[$p.p_retailprice <= $s.s_acctbal and $s.s_acctbal < $p.p_retailprice + 40].{"p": $p.p_partkey, "s": $s.s_suppkey}', "part supplier", "select p_partkey p, s_suppkey s from part join supplier on p_retailprice <= s_acctbal and s_acctbal < p_retailprice + 40"),
+    "join_range_levels": Q('supplier@$s.customer@$c[$c.c_acctbal >= $s.s_acctbal - $s.s_nationkey * 5 and $c.c_acctbal <= $s.s_acctbal + $s.s_suppkey / 10].{"s": $s.s_suppkey, "c": $c.c_custkey}', "supplier customer", "select s_suppkey s, c_custkey c from supplier join customer on c_acctbal >= s_acctbal - s_nationkey * 5 and c_acctbal <= s_acctbal + s_suppkey / 10"),
     "join_cross": Q('region@$r.nation@$n.{"r": $r.r_name, "n": $n.n_name}', "region nation", "select r_name r, n_name n from region cross join nation"),
     "join_positional": Q('customer@$c#$i.supplier@$s#$j[$i = $j].{"i": $i}', "customer supplier", "select (row_number() over () - 1)::double i from supplier"),
     "join_group": Q('orders@$o.customer@$c[$o.o_custkey = $c.c_custkey]{$c.c_mktsegment: {"n": $count($o), "t": $round($sum($o.o_totalprice), 0)}}', "orders customer", "select c_mktsegment as key, count(*)::double n, round_even(sum(o_totalprice::decimal(18,2)), 0)::double t from orders join customer on o_custkey = c_custkey group by 1"),

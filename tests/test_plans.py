@@ -215,6 +215,24 @@ def test_tables_in_dynamic_steps_are_refused(spark, small):
         compile("nation@$n.region@$r[$n.n_regionkey = $r.r_regionkey].$formatInteger($count(nation), '0')").on(tables)
 
 
+def test_interval_joins_compare_buckets(spark):
+    import random
+
+    rnd = random.Random(8)
+    spans = [(i, lo := rnd.uniform(-50, 50), lo + rnd.choice([0.0, 0.001, 1, 30, -5, 1e6])) for i in range(200)] + [(900, None, 1.0), (901, 0.0, None)]
+    points = [(i, rnd.choice([rnd.uniform(-60, 60), float(rnd.randint(-60, 60)), spans[i % 200][1]])) for i in range(300)] + [(900, None)]
+    t = {"a": spark.createDataFrame(spans, "i int, lo double, hi double"), "b": spark.createDataFrame(points, "j int, x double")}
+    for text, inside in (
+        ("a@$a.b@$b[$a.lo <= $b.x and $b.x < $a.hi].{'i': $a.i, 'j': $b.j}", lambda lo, hi, x: lo <= x < hi),
+        ("b@$b.a@$a[$b.x > $a.lo][$a.hi >= $b.x].{'i': $a.i, 'j': $b.j}", lambda lo, hi, x: lo < x <= hi),
+    ):
+        df = compile(text).on(t)
+        plan = _plan(df)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        want = sorted((i, j) for i, lo, hi in spans for j, x in points if None not in (lo, hi, x) and inside(lo, hi, x))
+        assert sorted((r.i, r.j) for r in df.collect()) == want
+
+
 def test_windowed_groups(spark):
     from pathframe.streaming.rows import windowed_groups
 
