@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import cmp_to_key
 from typing import Any
 
-from pathframe.dynamic.evaluate import Frame, Native, Run, compare_keys, compile_node, evaluate, same, settle
+from pathframe.dynamic.evaluate import Frame, Native, Run, compare_keys, evaluate, program, same, settle
 from pathframe.dynamic.values import MISSING, Function, Outer, Seq, append, hashable, is_number, lookup, precise, truthy, yes
 from pathframe.errors import CompileError, EvalError
 from pathframe.functions import dates, numbers, regex, text
@@ -267,7 +267,7 @@ def eval_(frame: Frame, context: Any, source: Any, focus: Any = MISSING) -> Any:
     if focus is not MISSING:
         context = Outer([focus]) if isinstance(focus, list) and not isinstance(focus, Outer) else focus
     try:
-        code = compile_node(parse(source))
+        code = program(source)
     except CompileError as e:
         raise EvalError("D3120", str(e), value=e.code) from e
     try:
