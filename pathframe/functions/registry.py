@@ -12,7 +12,6 @@ from pathframe.dynamic.evaluate import Frame, Native, Run, compare_keys, evaluat
 from pathframe.dynamic.values import MISSING, Function, Outer, Seq, append, hashable, is_number, lookup, precise, truthy, yes
 from pathframe.errors import CompileError, EvalError
 from pathframe.functions import dates, numbers, regex, text
-from pathframe.syntax import parse
 
 
 # -- aggregates ---------------------------------------------------------------------
