@@ -364,9 +364,8 @@ def drop_near_copies(
     Jaccard similarity of at least ``similarity`` are joined.  Groups are what
     such pairs and equal texts connect; the document with the smallest id
     stays.  Rows with one id and equal texts are one document, whatever else
-    they hold; rows with a null id come after all others of their group.  Null
-    and empty texts have no shingles in common with any text: of each kind one
-    stays.
+    they hold; rows with a null id come after all others of their group.  Null,
+    empty and blank texts have no word: they are one group, with no other text.
     """
     keyed = docs.withColumn("_pf_text", text_key(F.col(text))).withColumn("_pf_check", F.xxhash64(F.lit(1), F.col(text)))
     # Different texts of one key, of which there may be a few in 10^10, get a key from both hashes.

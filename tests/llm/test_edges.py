@@ -598,6 +598,18 @@ def test_mixing_cuts_rows_without_ids(spark):
     assert all(abs(a - b) <= 1 for a, b in taken.values())
 
 
+def test_weights_go_by_turns_over_many_ranges(spark):
+    sources = [None, *{f"s{k * 7919 % 1000}" for k in range(500)}, "é", "Z", "", "😀", "\uffee"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame([(s,) for s in sources], "source string").repartition(3)
+        got = {r.source: r.weight for r in mixing.cyclic_weights(table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = [*sorted(s for s in sources if s is not None), None]
+    assert got == {s: 1.0 + k % 3 for k, s in enumerate(order)}
+
+
 def test_pipeline_stages_hold_edge_rows(spark, docs, none, small):
     """Null, empty, long and repeated rows go through every stage; empty tables give empty ones."""
     import corpus_pipeline as P

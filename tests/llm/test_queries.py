@@ -185,3 +185,77 @@ def test_pipeline(spark, small, docs):
     assert mixed.join(kept.select("doc_id", F.col("text").alias("t")), "doc_id").where("text <> t").count() == 0
     rows = P.run(spark, small).collect()
     assert len(rows) == mixed.count() and sum(r.n_tokens for r in rows) > 0
+
+
+def test_pipeline_equals_brute_force(spark, small, docs):
+    """All rows of the pipeline, from the predictions of op8 on, in plain Python."""
+    import corpus_pipeline as P
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    left = sorted(r.doc_id for r in Q.op8_toxicity(spark, small).where("predicted = 0").collect())
+    shingles = {}
+    for i in left:
+        words = (docs[i].text or "").lower().split()
+        shingles[i] = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    parts = {i: i for i in left}
+
+    def root(i):
+        while parts[i] != i:
+            i = parts[i]
+        return i
+
+    for n, i in enumerate(left):
+        for j in left[:n]:
+            if 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j]):
+                a, b = root(i), root(j)
+                parts[max(a, b)] = min(a, b)
+    left = [i for i in left if root(i) == i]
+    assert len(left) < len(parts)
+
+    def words_of(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = set()
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        words = words_of(r.text)
+        windows |= {tuple(words[k : k + 10]) for k in range(max(1, len(words) - 9)) if words}
+    lengths = {len(w) for w in windows}
+    hit = {i for i in left for w in [words_of(docs[i].text)] for n in lengths if any(tuple(w[k : k + n]) in windows for k in range(len(w) - n + 1))}
+    left = [i for i in left if i not in hit]
+
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", docs[i].text or "")) for i in left}
+    sources = sorted({docs[i].source for i in left if docs[i].source is not None}) + [None] * any(docs[i].source is None for i in left)
+    of = {s: sum(size[i] for i in left if docs[i].source == s) for s in sources}
+    target, free, total = {}, {s: 1.0 + k % 3 for k, s in enumerate(sources)}, float(sum(size.values()))
+    while free:
+        over = [s for s in free if total * free[s] / sum(free.values()) > 3 * of[s]]
+        if not over:
+            target |= {s: total * free[s] / sum(free.values()) for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * of[s]
+            total -= target[s]
+            del free[s]
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    order = {r.doc_id: r.h for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit(42), "doc_id", "text"), F.lit(1 << 48)).alias("h")).collect()}
+    times = {}
+    for s in sources:
+        whole = int(target[s] / of[s] + 1e-9) if of[s] else 0
+        rest = round(target[s] - whole * of[s])
+        for i in sorted((i for i in left if docs[i].source == s), key=lambda i: (order[i], i)):
+            extra = max(0, min(size[i], rest))
+            rest -= size[i]
+            times[i] = whole + (extra > 0 and 2 * extra >= size[i])
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected, start = [], 0
+    for i in left:
+        ids = np.array([*tokenizer.encode(docs[i].text or "", add_special_tokens=False).ids, 2], "<u4")
+        for _ in range(times[i]):
+            expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in P.run(spark, small).collect())
+    assert got == expected
