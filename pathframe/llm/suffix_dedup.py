@@ -219,6 +219,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
 def _kept(rows: DataFrame, groups: DataFrame, digit: str) -> DataFrame:
     """Rows whose digit occurs again, with ``n`` of their class and whether the digit has a class of one."""
+    # None is null; but the join would say so to one of both uses, and the shuffle under them not be shared.
+    groups = groups.where(F.col(digit).isNotNull() & F.col("c").isNotNull())
     digits = groups.groupBy(digit).agg(F.sum("n").alias("in_all"), (F.min("n") == 1).alias("has_single")).where("in_all > 1")
     return cut(rows.join(groups.join(digits, digit).select(digit, "c", "n", "has_single"), [digit, "c"]))
 
