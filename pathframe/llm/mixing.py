@@ -43,20 +43,23 @@ def words_of(text: Column) -> Column:
 def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
     """Weights for ``sources(source)`` in code point order, null last, by turns.
 
-    The rank is over distinct sources alone: sorted by ranges, with the number
-    of sources in the ranges before added, so no task has them all.
+    The rank is over distinct sources alone.  More of them than are broadcast
+    are sorted by ranges, with the number of sources in the ranges before
+    added, so no task has them all; the ranks are the same.
     """
     order = F.col("source").asc_nulls_last()
+    turns = F.array(*[F.lit(float(w)) for w in cycle])
+    weight = lambda rank: F.element_at(turns, (rank % len(cycle) + 1).cast("int")).alias("weight")
+    if sources.count() <= MAX_BROADCAST_SOURCES:
+        return sources.select("source", weight(F.row_number().over(Window.orderBy(order)) - 1))
     ranges = sources.select("source").repartitionByRange(order).sortWithinPartitions(order)
     # The row's place in its range is in the low 33 bits, the range above them.
     at = cut(ranges.select("source", F.monotonically_increasing_id().alias("at")))
     at = at.select("source", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
     counts = at.groupBy("range").agg(F.count("*").alias("n"))
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    rank = F.col("before") + F.col("place")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (rank % len(cycle) + 1).cast("int"))
     # A row a range, of which there are no more than shuffle partitions.
-    return at.join(F.broadcast(before), "range").select("source", weight.alias("weight"))
+    return at.join(F.broadcast(before), "range").select("source", weight(F.col("before") + F.col("place")))
 
 
 def fill_targets(sources: DataFrame, max_epochs: float, total: float | None = None) -> DataFrame:
@@ -110,7 +113,7 @@ def mix_sources(
         F.xxhash64(F.col(text)).alias("tie"),
     ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     rows = cut(wide.drop("row"))
-    sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = cyclic_weights(sizes.select("source")) if weights is None else weights.select(F.col("source").cast("string"), F.col("weight").cast("double"))
     weighed = sizes.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select("s.source", "source_size", "weight")
     plan = fill_targets(cut(weighed), max_epochs, total)

@@ -598,7 +598,9 @@ def test_mixing_cuts_rows_without_ids(spark):
     assert all(abs(a - b) <= 1 for a, b in taken.values())
 
 
-def test_weights_go_by_turns_over_many_ranges(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_weights_go_by_turns_over_many_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most)
     sources = [None, *{f"s{k * 7919 % 1000}" for k in range(500)}, "é", "Z", "", "😀", "\uffee"]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
