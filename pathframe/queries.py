@@ -389,7 +389,7 @@ DOCUMENT_QUERIES: dict[str, tuple] = {
     "json_match_index": ("$match(p_type, /[A-Z]+/)[0].index", "part", ["p_partkey", "p_type"], "select p_partkey k, cast(length(regexp_extract(p_type, '^[^A-Z]*')) as varchar) v from part where regexp_matches(p_type, '[A-Z]')"),
     "json_replace_function": ("$replace(n_name, /[AEIOU]/, function($m) { $lowercase($m.match) })", "nation", ["n_nationkey", "n_name"], "select n_nationkey k, '\"' || translate(n_name, 'AEIOU', 'aeiou') || '\"' v from nation"),
     "json_picture": (
-        '$fromMillis(event_id * 86400000, "[FNn], [D1o] [MNn] [Y0001] W[W01]")',
+        '$fromMillis(event_id * 86400000, "[FNn], [D1o] [MNn] [Y] W[W01]")',
         "events",
         ["event_id"],
         """select event_id k, '"' || strftime(d, '%A, ') || day(d) || case when day(d) in (11, 12, 13) then 'th' when day(d) % 10 = 1 then 'st' when day(d) % 10 = 2 then 'nd'

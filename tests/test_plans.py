@@ -239,3 +239,16 @@ def test_windowed_groups(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:20", "a"), ("2024-01-01 00:01:10", "b")], "t string, s string").select(F.to_timestamp("t").alias("t"), "s")
     got = windowed_groups(compile("$uppercase(s)"), rows, "t", "1 minute", "5 minutes").collect()
     assert sorted((r.key, r.n) for r in got) == [("A", 2), ("B", 1)]
+
+
+def test_picture_query_has_whole_years(spark, tmp_path):
+    """Years over 9999, which its SQL writes in full; `[Y0001]` keeps four digits of them, as in the reference."""
+    ids = [0, 1, 10957, 2932896, 2932897, 3000000, 3652059, 5999999]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, Q.queries()["json_picture"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(SQL["json_picture"]).fetchall())
+    assert compile('$fromMillis(2932897 * 86400000, "[Y0001] [Y]")').evaluate() == "0000 10000"
