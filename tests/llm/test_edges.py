@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 
-from pathframe.llm import chat_format, decontaminate, embed_dedup, mixing, pii, simhash_dedup, suffix_dedup, token_output, toxicity, url_filter
+from pathframe.llm import chat_format, common, decontaminate, embed_dedup, mixing, pii, simhash_dedup, suffix_dedup, token_output, toxicity, url_filter
 from pathframe.llm.common import connected_components
 
 LONG = "word " * 30_000
@@ -636,3 +639,26 @@ def test_chat_of_long_turns(spark, size):
     clash = df.select("*", *[F.lit("x").alias(c) for c in ("pair", "side", "segment", "rendered", "mask", "k", "h")])
     a, b = (sorted(map(str, chat_format.format_neighbours(t).collect())) for t in (df, clash))
     assert a == b and len(a) >= 3
+
+
+def test_components_free_the_shuffles_of_rounds(spark, monkeypatch):
+    """Disk holds the shuffle files of a round or two, not of all rounds."""
+    context = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tops = [d.getPath() for d in context.blockManager().diskBlockManager().localDirs()]
+    there = lambda: {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    common.release(spark)
+    time.sleep(2)
+    seen, made, old, cut = [], set(), there(), common.cut
+
+    def watched(df):
+        out = cut(df)
+        time.sleep(1)  # files go a little after the objects
+        seen.append(len(now := there() - old))
+        made.update(now)
+        return out
+
+    monkeypatch.setattr(common, "cut", watched)
+    path = spark.range(400).selectExpr("id a", "id + 1 b")
+    rows = common.connected_components(path).collect()
+    assert {r.component for r in rows} == {0} and len(rows) == 401
+    assert len(seen) > 5 and max(seen) < 0.5 * len(made), (seen, len(made))
