@@ -233,6 +233,27 @@ def test_interval_joins_compare_buckets(spark):
         assert sorted((r.i, r.j) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("task_pairs", [1 << 26, 100])
+def test_interval_joins_deal_crowded_cells(spark, monkeypatch, task_pairs):
+    """Crowded cells in blocks by a merge join; intervals of any width; equal rows; numbers at the ends."""
+    import random
+
+    from pathframe.operators import intervals
+
+    for name, n in (("TASK_PAIRS", task_pairs), ("POINT_ROWS", 16), ("INTERVAL_ROWS", 8)):
+        monkeypatch.setattr(intervals, name, n, raising=False)
+    rnd, inf = random.Random(9), float("inf")
+    spans = [(i, lo := rnd.uniform(0, 10), lo + rnd.choice([0.0, 1, 8, 9, 1000])) for i in range(150)]
+    spans += [(200, 0.0, 1e300), (201, -1e300, 1e300), (202, -inf, 5.0), (203, 5.0, inf), (204, -inf, inf), (205, inf, inf), (206, float("nan"), 1.0), *[(207, 4.0, 6.0)] * 3]
+    points = [(i, rnd.choice([5.0, rnd.uniform(0, 10), spans[i % 150][2]])) for i in range(300)] + [(400, 1e20), (401, -1e250), (402, inf), (403, -inf), (404, float("nan")), *[(405, 5.0)] * 40]
+    t = {"a": spark.createDataFrame(spans, "i int, lo double, hi double"), "b": spark.createDataFrame(points, "j int, x double")}
+    want = sorted((i, j) for i, lo, hi in spans for j, x in points if lo <= x <= hi)
+    for text in ("a@$a.b@$b[$a.lo <= $b.x and $b.x <= $a.hi].{'i': $a.i, 'j': $b.j}", "b@$b.a@$a[$a.lo <= $b.x and $b.x <= $a.hi].{'i': $a.i, 'j': $b.j}"):
+        df = compile(text).on(t)
+        assert task_pairs > 100 or "SortMergeJoin" in _plan(df)
+        assert sorted((r.i, r.j) for r in df.collect()) == want
+
+
 def test_windowed_groups(spark):
     from pathframe.streaming.rows import windowed_groups
 
