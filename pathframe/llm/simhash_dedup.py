@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathframe.llm.common import LOWER, UPPER, connected_components, cut, release, tidy
+from pathframe.llm.common import LOWER, UPPER, connected_components, cut, give_back, release, tidy
 from pathframe.llm.tiles import deal, each_group, spanning
 
 FAN = 8
@@ -380,6 +380,7 @@ def drop_near_copies(
     links = near_links(nodes.select("f", F.col("h").alias("rep")), nodes.count(), max_bits).unionByName(band_links(nodes))
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(docs.sparkSession)
+    give_back(docs.sparkSession)
     blocks = cut(connected_components(links))
     wanted = blocks.select(F.col("node").alias("_pf_text"))
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
@@ -388,6 +389,7 @@ def drop_near_copies(
     members = sets.join(blocks, sets.h == blocks.node).select("h", "s", "n", F.col("component").alias("block"))
     near = cut(similar_links(members, similarity))
     release(docs.sparkSession)
+    give_back(docs.sparkSession)
     parts = connected_components(near)
     rows = prints.join(parts, prints.h == parts.node, "left").select("id", "h", F.coalesce("component", "h").alias("g"))
     order = F.struct(F.col("id").isNull().alias("z"), "id", "h")

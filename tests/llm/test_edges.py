@@ -641,6 +641,18 @@ def test_chat_of_long_turns(spark, size):
     assert a == b and len(a) >= 3
 
 
+def test_pipeline_stages_begin_with_collected_heaps(spark, docs, small):
+    """What a stage leaves in the executors' heaps, here the driver's own, doesn't add up through the stages."""
+    import corpus_pipeline as P
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    for name, stage in P.STAGES:
+        before = full()
+        stage(spark, docs, small)
+        assert full() > before, name
+
+
 def test_components_free_the_shuffles_of_rounds(spark, monkeypatch):
     """Disk holds the shuffle files of a round or two, not of all rounds."""
     context = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
