@@ -381,7 +381,7 @@ def drop_near_copies(
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(docs.sparkSession)
     give_back(docs.sparkSession)
-    blocks = cut(connected_components(links))
+    blocks = cut(connected_components(links, small_heaps=True))
     wanted = blocks.select(F.col("node").alias("_pf_text"))
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
     found = keyed.join(wanted, "_pf_text", "left_semi").groupBy(F.col("_pf_text").alias("h")).agg(F.first(text).alias("t"))
@@ -390,7 +390,7 @@ def drop_near_copies(
     near = cut(similar_links(members, similarity))
     release(docs.sparkSession)
     give_back(docs.sparkSession)
-    parts = connected_components(near)
+    parts = connected_components(near, small_heaps=True)
     rows = prints.join(parts, prints.h == parts.node, "left").select("id", "h", F.coalesce("component", "h").alias("g"))
     order = F.struct(F.col("id").isNull().alias("z"), "id", "h")
     # Stored, so that the join deals both sides anew and can split a large group.

@@ -653,6 +653,16 @@ def test_pipeline_stages_begin_with_collected_heaps(spark, docs, small):
         assert full() > before, name
 
 
+def test_near_copies_collect_heaps_between_rounds(spark, monkeypatch):
+    """Both component passes of the near-dedup keep the executors' heaps small while they go on."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda session: called.append(session))
+    words = " ".join(f"w{i}" for i in range(100))
+    near = spark.createDataFrame([(1, words), (2, words + " more"), (3, words + " and more")], "doc_id long, text string")
+    assert [r.doc_id for r in simhash_dedup.drop_near_copies(near).collect()] == [1]
+    assert len(called) >= 2
+
+
 def test_components_free_the_shuffles_of_rounds(spark, monkeypatch):
     """Disk holds the shuffle files of a round or two, not of all rounds."""
     context = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
